@@ -1,0 +1,15 @@
+"""First slice: scan, filter, grouped aggregate."""
+
+from pyspark.sql import functions as F
+
+from heronq.plans.catalog import query
+
+
+@query("""
+SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, count(*) AS n
+FROM lineitem WHERE l_shipdate <= TIMESTAMP '2000-09-02'
+GROUP BY l_returnflag, l_linestatus
+""")
+def pricing_summary(spark, sf_dir):
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return li.where(F.col("l_shipdate") <= F.lit("2000-09-02").cast("timestamp_ntz")).groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.count("*").alias("n"))
