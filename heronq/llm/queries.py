@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heronq.llm import codec, token_files
+from heronq.llm import codec, quality_rules, token_files, warc
 from heronq.llm.common import table
 
 
@@ -34,8 +34,25 @@ def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Bands of the corpus' invented prose under piece_bpe_32k, just outside those of labelled good texts.
+FERTILITY_BANDS = {
+    "en": quality_rules.Band((1.80, 2.60), 0.02, (6.00, 7.80), 3.25),
+    "de": quality_rules.Band((1.95, 2.60), 0.02, (6.05, 7.80), 3.40),
+    "fr": quality_rules.Band((1.60, 2.40), 0.02, (6.00, 7.80), 3.75),
+    "es": quality_rules.Band((1.75, 2.30), 0.02, (6.05, 7.80), 3.50),
+}
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), FERTILITY_BANDS)
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(table(spark, sf_dir, "pages"), min_bytes=0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_token_files": op2_token_files, "op9_bpe_codec": op9_bpe_codec}
+    return {f.__name__: f for f in (op2_token_files, op3_quality_rules, op9_bpe_codec, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:

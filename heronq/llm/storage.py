@@ -19,7 +19,7 @@ def attempt_path(folder: str, stem: str, suffix: str) -> str:
 def open_out(uri: str):
     where, path = filesystem(uri)
     where.create_dir(path.rpartition("/")[0], recursive=True)
-    return where.open_output_stream(path)
+    return where.open_output_stream(path, compression=None)
 
 
 def open_in(uri: str):
