@@ -26,7 +26,7 @@ SHARD_ROWS = 8_000
 ENCODE_ROWS = 256
 
 _MANIFEST = pa.schema([("path", pa.string()), ("first_id", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("n_bytes", pa.int64())])
-_READ = pa.schema([("path", pa.string()), ("doc_id", pa.int64()), ("local_start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
+_READ = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
 
 def encode_to_files(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str | None = None, percentile: float = pfor.PERCENTILE, shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -60,22 +60,20 @@ def encode_to_files(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: st
 def read_files(manifest: DataFrame) -> DataFrame:
     """manifest -> (doc_id, start, n_tokens, ids_crc32), every value from the files."""
     order = Window.orderBy("first_id", "path").rowsBetween(Window.unboundedPreceding, -1)
-    bases = manifest.select("path", F.coalesce(F.sum("n_ids").over(order), F.lit(0)).alias("base"))
+    placed = manifest.select("path", F.coalesce(F.sum("n_ids").over(order), F.lit(0)).alias("base"))
 
     def read(batches):
         for b in batches:
-            for path in b.column(0).to_pylist():
+            for path, base in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 with storage.open_in(path) as f:
                     rows = []
-                    for row in pfor.Reader(f).documents():
-                        rows.append((path, *row))
+                    for doc, start, n, crc in pfor.Reader(f).documents():
+                        rows.append((doc, base + start, n, crc))
                         if len(rows) >= 4096:
                             yield batch(_READ, *zip(*rows))
                             rows = []
                     if rows:
                         yield batch(_READ, *zip(*rows))
 
-    n = max(1, manifest.count())
-    paths = manifest.select("path").repartition(n, "path")
-    got = arrow_map(paths, read, "path string, doc_id long, local_start long, n_tokens long, ids_crc32 long")
-    return got.join(bases, "path").select("doc_id", (F.col("local_start") + F.col("base")).alias("start"), "n_tokens", "ids_crc32")
+    shards = placed.repartition(max(1, manifest.count()), "path")
+    return arrow_map(shards, read, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -14,12 +14,15 @@ from collections.abc import Callable
 import numpy as np
 
 #: Entries of both generations of the cache together.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 1_500_000
 
-_ODD = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
+_ODD = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _PIECE = re.compile(r"\s*\S+|\s+")
 #: Characters about which libraries differ whether they are white space.
-_DISPUTED = re.compile("[\x1c-\x1f\x85᠎​]")
+_DISPUTED = re.compile("[\x1c-\x1f\x85\u180e\u200b]")
+
+
+_LATIN_1 = "\xff"
 
 
 class PieceCache:
@@ -144,6 +147,13 @@ class LibraryEncoder:
         if len(known) > self.entries // 2:
             known.clear()
         for key in keys:
+            # most new pieces are a word, or a word and one sign
+            if key.isalpha() and max(key) <= _LATIN_1:
+                runs = [key.lower() if self.lower else " " + key]
+                cuts.append(runs)
+                if runs[0] not in known:
+                    todo[runs[0]] = None
+                continue
             full = full_piece(key)
             if self.PLAIN.fullmatch(full):
                 if self.lower:
