@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heronq.llm import codec, nbsvm, ordinal, packing, quality_rules, token_files, warc
+from heronq.llm import codec, embedding_dedup, nbsvm, ordinal, packing, quality_rules, token_files, warc
 from heronq.llm.common import table
 
 
@@ -60,12 +60,16 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "queue")
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages"), min_bytes=0)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_files, op3_quality_rules, op5_quality_classifier, op6_toxicity, op7_packing, op9_bpe_codec, op10_warc)}
+    return {f.__name__: f for f in (op2_token_files, op3_quality_rules, op5_quality_classifier, op6_toxicity, op7_packing, op8_embedding_dedup, op9_bpe_codec, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
