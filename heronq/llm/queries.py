@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heronq.llm import codec, embedding_dedup, nbsvm, ordinal, packing, quality_rules, token_files, warc
+from heronq.llm import codec, embedding_dedup, jaccard, nbsvm, ordinal, packing, quality_rules, token_files, warc
 from heronq.llm.common import table
 
 
@@ -17,6 +17,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join_components(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_files.encode_to_files(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0)
     return token_files.read_files(manifest)
@@ -69,7 +73,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_files, op3_quality_rules, op5_quality_classifier, op6_toxicity, op7_packing, op8_embedding_dedup, op9_bpe_codec, op10_warc)}
+    return {f.__name__: f for f in (op1_jaccard_join, op2_token_files, op3_quality_rules, op5_quality_classifier, op6_toxicity, op7_packing, op8_embedding_dedup, op9_bpe_codec, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
