@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heronq.llm import codec, embedding_dedup, jaccard, nbsvm, ordinal, packing, quality_rules, token_files, warc
+from heronq.llm import codec, embedding_dedup, jaccard, nbsvm, ordinal, packing, quality_rules, substring_dedup, token_files, warc
 from heronq.llm.common import table
 
 
@@ -51,6 +51,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), FERTILITY_BANDS)
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = substring_dedup.substring_dedup(table(spark, sf_dir, "documents"), window=20)
+    return got.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nbsvm.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
 
@@ -73,7 +78,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_jaccard_join, op2_token_files, op3_quality_rules, op5_quality_classifier, op6_toxicity, op7_packing, op8_embedding_dedup, op9_bpe_codec, op10_warc)}
+    return {f.__name__: f for f in (op1_jaccard_join, op2_token_files, op3_quality_rules, op4_substring_dedup, op5_quality_classifier, op6_toxicity, op7_packing, op8_embedding_dedup, op9_bpe_codec, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
