@@ -15,7 +15,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch handed to Python: bounds a worker's memory when texts are long.
 BATCH_ROWS = 256
@@ -67,14 +66,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_rows(docs: DataFrame, *more: str) -> DataFrame:
-    """doc_id, text and the columns named: whatever else a table carries, clashing names included, stays out."""
-    return docs.select("doc_id", "text", *more)
+def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    small_batches(df.sparkSession)
+    return df.mapInArrow(fn, schema)
+
+
+def filter_rows(df: DataFrame, column: str, make: Callable[[], Callable[[pa.Array], np.ndarray]]) -> DataFrame:
+    """The rows of df, all columns, for which a function of one column's Arrow array says True. make() is called once a task."""
 
+    def run(batches):
+        keep = make()
+        for b in batches:
+            yield b.filter(pa.array(keep(b.column(at))))
 
-def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    at = df.columns.index(column)
     small_batches(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    return df.mapInArrow(run, df.schema)
 
 
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
@@ -175,8 +182,3 @@ def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
 
 def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
-
-
-def salted(df: DataFrame, n: int, *keys: str) -> DataFrame:
-    """A column salt in 0..n-1 from the keys."""
-    return df.withColumn("salt", F.pmod(F.xxhash64(*keys), F.lit(n)))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heronq.llm.common import arrow_map, batch, ngram_hashes, utf8, word_hashes, word_spans
+from heronq.llm.common import arrow_map, batch, filter_rows, ngram_hashes, utf8, word_hashes, word_spans
 from heronq.llm.training import class_counts, held_out, labelled_sample, sampled_texts
 
 #: Labelled rows of each class at most.
@@ -214,6 +214,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return arrow_map(docs.select("doc_id", "text"), run, "doc_id long, score double")
 
 
+def accepted(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.7, per_class: int = PER_CLASS) -> DataFrame:
+    """The rows of docs, all columns, that score at least the threshold."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, label, per_class))
+    return filter_rows(docs, "text", lambda: lambda texts: np.array([shared.value.score(x) >= threshold for x in features(*utf8(texts))], bool))
+
+
 def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.7, per_class: int = PER_CLASS) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row."""
     got = score(docs, fit(docs, labels, label, per_class))

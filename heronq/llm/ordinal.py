@@ -21,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heronq.llm.common import _BYTE, _P, LOWER, arrow_map, batch, mix, utf8, word_hashes, word_spans
+from heronq.llm.common import _BYTE, _P, LOWER, arrow_map, batch, filter_rows, mix, utf8, word_hashes, word_spans
 from heronq.llm.training import class_counts, held_out, labelled_sample, sampled_texts
 
 PER_CLASS = 4_000
+#: A row is toxic from this probability of grade 1 or more.
+THRESHOLD = 0.4
 FEATURES = 1_500
 GRADES = 3
 #: A feature must stand in so many labelled rows.
@@ -234,7 +236,13 @@ def grade(docs: DataFrame, model: Model) -> DataFrame:
     return arrow_map(docs.select("doc_id", "text"), run, "doc_id long, severity double, grade int, p_toxic double")
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, per_class: int = PER_CLASS) -> DataFrame:
+def harmless(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, per_class: int = PER_CLASS) -> DataFrame:
+    """The rows of docs, all columns, that are not toxic."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, per_class=per_class))
+    return filter_rows(docs, "text", lambda: lambda texts: shared.value.exceedance(*utf8(texts))[:, 0] < threshold)
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, per_class: int = PER_CLASS) -> DataFrame:
     """(doc_id, held_out, severity, grade, p_toxic, toxic, kept) of every row."""
     got = grade(docs, fit(docs, labels, per_class=per_class))
     toxic = F.col("p_toxic") >= threshold

@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from heronq.llm.common import arrow_map, batch, mix, ngram_hashes, settle, utf8, word_hashes, word_spans
 
@@ -144,8 +145,13 @@ def full_windows(docs: DataFrame, survivors: DataFrame, window: int) -> DataFram
     return arrow_map(rows.select("key", "text", "right", "left"), run, "key long, start array<int>, h array<long>, again array<int>")
 
 
-def keep_rest(docs: DataFrame, marks: DataFrame, window: int) -> DataFrame:
-    """marks (key, rep, start, again) -> the texts without the words that marked windows cover, without all if rep is another text."""
+def keep_rest(docs: DataFrame, marks: DataFrame, window: int, keep_layout: bool = False) -> DataFrame:
+    """marks (key, rep, start, again) -> the texts without the words that marked windows cover, without all if rep is another text.
+
+    The other columns of docs but text come along, after those of the result, under the names c0, c1, ...
+    """
+    carried = [c for c in docs.columns if c not in ("doc_id", "text")]
+    fields = [docs.schema[c] for c in carried]
 
     def run(batches):
         for b in batches:
@@ -162,6 +168,10 @@ def keep_rest(docs: DataFrame, marks: DataFrame, window: int) -> DataFrame:
                 marks_ = [np.asarray(x[k].values.to_numpy(zero_copy_only=False), np.int64) for x in (b.column(4), b.column(5)) if x[k].is_valid]
                 at = np.concatenate(marks_) if marks_ else np.zeros(0, np.int64)
                 at = at[at + window <= len(words)]
+                if not len(at) and keep_layout:
+                    removed.append(0)
+                    kept.append(raw[offsets[k] : offsets[k + 1]].decode("utf-8", "replace"))
+                    continue
                 if len(at):
                     cover = np.zeros(len(words) + 1, np.int64)
                     np.add.at(cover, at, 1)
@@ -172,10 +182,13 @@ def keep_rest(docs: DataFrame, marks: DataFrame, window: int) -> DataFrame:
                 else:
                     removed.append(0)
                 kept.append(b" ".join(words).decode("utf-8", "replace"))
-            yield batch(_KEPT, b.column(1), sizes, removed, kept)
+            made = batch(_KEPT, b.column(1), sizes, removed, kept)
+            more = b.columns[6:]
+            yield pa.RecordBatch.from_arrays([*made.columns, *more], names=[*_KEPT.names, *(f"c{i}" for i in range(len(more)))])
 
-    rows = _key(docs).join(marks, "key", "left")
-    return arrow_map(rows.select("key", F.col("doc_id").cast("long"), "text", "rep", "start", "again"), run, "doc_id long, n_words long, n_removed long, kept_text string")
+    rows = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("key"), F.col("doc_id").cast("long").alias("id"), "text", *[F.col(c).alias(f"c{i}") for i, c in enumerate(carried)]).join(marks, "key", "left")
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())] + [T.StructField(f"c{i}", f.dataType) for i, f in enumerate(fields)])
+    return arrow_map(rows.select("key", "id", "text", "rep", "start", "again", *[f"c{i}" for i in range(len(carried))]), run, schema)
 
 
 def repeated(rows: DataFrame, column: str) -> DataFrame:
@@ -185,6 +198,20 @@ def repeated(rows: DataFrame, column: str) -> DataFrame:
 
 def substring_dedup(docs: DataFrame, window: int = 20) -> DataFrame:
     """(doc_id, text) -> (doc_id, n_words, n_removed, kept_text), one row a document."""
+    docs = docs.select("doc_id", "text")
+    return keep_rest(docs, find_repeats(docs, window), window)
+
+
+def without_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
+    """docs with repeated passages cut from text; texts without any keep their layout, all other columns stay."""
+    names = [c for c in docs.columns if c not in ("doc_id", "text")]
+    got = keep_rest(docs, find_repeats(docs, window), window, keep_layout=True)
+    where = {"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType), "text": F.col("kept_text")} | {c: F.col(f"c{i}") for i, c in enumerate(names)}
+    return got.select(*[where[c].alias(c) for c in docs.columns])
+
+
+def find_repeats(docs: DataFrame, window: int) -> DataFrame:
+    """(key, rep, start, again): for texts that repeat, the smallest id of an equal text, and starts of windows that start earlier elsewhere."""
     if window < 2:
         raise ValueError("a window has two words at least")
     made = settle(first_level(docs, window), "first")
@@ -208,4 +235,4 @@ def substring_dedup(docs: DataFrame, window: int = 20) -> DataFrame:
     starts = late.groupBy("key").agg(F.collect_list("start").alias("start"))
     again = full.where(F.size("again") > 0).groupBy("key").agg(F.flatten(F.collect_list("again")).alias("again"))
     marks = whole.where("key <> rep").join(starts, "key", "full").join(again, "key", "full")
-    return keep_rest(docs, settle(marks.select("key", "rep", "start", "again"), "marks"), window)
+    return settle(marks.select("key", "rep", "start", "again"), "marks")
