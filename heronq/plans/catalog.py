@@ -1,4 +1,4 @@
-"""The registered relational queries, each with the SQL that DuckDB must agree with."""
+"""The registered queries, each with the SQL that DuckDB must agree with where SQL can express it."""
 
 from __future__ import annotations
 
@@ -11,10 +11,10 @@ ORACLES: dict[str, str] = {}
 
 
 def query(sql: str | None = None):
-    """Registers a function of (spark, sf_dir) under its name, with its oracle where SQL can express it."""
+    """Registers a function of a Tables under its name as a query of (spark, sf_dir)."""
 
     def add(f):
-        QUERIES[f.__name__] = f
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
         if sql is not None:
             ORACLES[f.__name__] = sql
         return f
@@ -22,4 +22,18 @@ def query(sql: str | None = None):
     return add
 
 
-from heronq.plans import core  # noqa: E402,F401
+class Tables:
+    """The tables of a folder by attribute: t.orders. t.spark and t.dir are the session and the folder."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.dir = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+
+    def sql(self, text: str, *names: str) -> DataFrame:
+        """Runs SQL over the tables named."""
+        return self.spark.sql(text, **{n: getattr(self, n) for n in names})
+
+
+from heronq.plans import joins, relational, scalars, sinks, streams, user_code  # noqa: E402,F401

@@ -1,0 +1,35 @@
+"""A small connector in Python: numbers of a range, dealt over partitions, with a filterable limit."""
+
+from __future__ import annotations
+
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+
+class Span(InputPartition):
+    def __init__(self, a: int, b: int):
+        self.a, self.b = a, b
+
+
+class CounterReader(DataSourceReader):
+    def __init__(self, options):
+        self.n, self.parts = int(options.get("n", 100)), max(1, int(options.get("parts", 4)))
+
+    def partitions(self):
+        edges = [self.n * k // self.parts for k in range(self.parts + 1)]
+        return [Span(a, b) for a, b in zip(edges, edges[1:])]
+
+    def read(self, partition):
+        for i in range(partition.a, partition.b):
+            yield i, i * i
+
+
+class CounterSource(DataSource):
+    @classmethod
+    def name(cls):
+        return "heronq_counter"
+
+    def schema(self):
+        return "n long, square long"
+
+    def reader(self, schema):
+        return CounterReader(self.options)
