@@ -26,7 +26,7 @@ from heronq.llm.training import class_counts, held_out, labelled_sample, sampled
 
 PER_CLASS = 4_000
 #: A row is toxic from this probability of grade 1 or more.
-THRESHOLD = 0.4
+THRESHOLD = 0.25
 FEATURES = 1_500
 GRADES = 3
 #: A feature must stand in so many labelled rows.
