@@ -31,4 +31,4 @@ def spark(tmp_path_factory):
 
 @pytest.fixture(scope="session")
 def sf_dir():
-    return f"{DATA}/sf0.001"
+    return f"{DATA}/{os.environ.get('HERONQ_SF', 'sf0.001')}"
