@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from heronq.llm.common import arrow_map, batch, mix, ngram_hashes, settle, utf8, word_hashes, word_spans
+from heronq.llm.common import arrow_map, batch, discard, mix, ngram_hashes, settle, utf8, word_hashes, word_spans
 
 LAST = (1 << 63) - 1
 _A, _B = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
@@ -217,22 +217,29 @@ def find_repeats(docs: DataFrame, window: int) -> DataFrame:
     made = settle(first_level(docs, window), "first")
     named = made.where("name is not null")
     classes = settle(named.groupBy("name").agg(F.min("key").alias("rep")), "classes")
-    whole = named.select("key", "name").join(classes, "name").select("key", "rep").groupBy("key").agg(F.min("rep").alias("rep"))
+    whole = settle(named.select("key", "name").join(classes, "name").select("key", "rep").groupBy("key").agg(F.min("rep").alias("rep")).where("key <> rep"), "whole")
     mine = named.join(classes.select("name", F.col("rep").alias("key")), ["name", "key"], "left_semi")
     # level 1: anchors that repeat
     rows = mine.select("key", F.explode(F.arrays_zip("p", "h", "r", "l")).alias("x")).select("key", "x.p", "x.h", "x.r", "x.l")
     rows = settle(rows.join(repeated(rows.select("h"), "h"), "h").select("key", "p", "r", "l"), "level1")
+    discard(made)
+    discard(classes)
     # level 2: anchors doubled to either side
     sides = rows.select("key", "p", F.explode(F.array(F.struct(F.lit(True).alias("right"), F.col("r").alias("h")), F.struct(F.lit(False).alias("right"), F.col("l").alias("h")))).alias("x")).select("key", "p", "x.right", "x.h").where("h <> 0")
     sides = sides.join(repeated(sides.select("h"), "h"), "h")
     place = lambda right: F.sort_array(F.collect_list(F.when(F.col("right") == right, F.col("p"))))
     survivors = settle(sides.groupBy("key").agg(place(True).alias("right"), place(False).alias("left")), "level2")
+    discard(rows)
     # level 3: whole windows
     full = settle(full_windows(docs, survivors, window), "full")
+    discard(survivors)
     each = full.select("key", F.explode(F.arrays_zip("start", "h")).alias("x")).select("key", "x.start", "x.h")
     earliest = each.groupBy("h").agg(F.min(F.struct("key", "start")).alias("e"), F.count("*").alias("m")).where("m > 1").select("h", "e")
     late = each.join(earliest, "h").where(F.struct("key", "start") != F.col("e"))
     starts = late.groupBy("key").agg(F.collect_list("start").alias("start"))
     again = full.where(F.size("again") > 0).groupBy("key").agg(F.flatten(F.collect_list("again")).alias("again"))
-    marks = whole.where("key <> rep").join(starts, "key", "full").join(again, "key", "full")
-    return settle(marks.select("key", "rep", "start", "again"), "marks")
+    marks = whole.join(starts, "key", "full").join(again, "key", "full")
+    marks = settle(marks.select("key", "rep", "start", "again"), "marks")
+    discard(full)
+    discard(whole)
+    return marks
