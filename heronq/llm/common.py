@@ -7,6 +7,7 @@ directly and never makes one Python object per word.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -51,9 +52,16 @@ def settle(df: DataFrame, name: str = "table") -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: cuts lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}"
     df.write.parquet(path)
+    release(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets the driver drop the shuffle files of plans that are done: they go when their last reference is collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def discard(df: DataFrame) -> None:
     """Deletes the files of a settled table that nothing lazy needs any more."""
     spark = df.sparkSession

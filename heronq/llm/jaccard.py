@@ -26,6 +26,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +44,8 @@ ORDERS = 3
 #: Pairs across components that are joined without another round of hubs, and rounds after which they are joined anyway.
 MOST_PAIRS = 5_000_000
 HUB_ROUNDS = 8
+#: Ids of documents wanted that are broadcast instead of shuffling all texts (8 bytes each).
+BROADCAST_IDS = 2_000_000
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarray]:
@@ -117,36 +120,59 @@ def common_levels(docs: DataFrame, n: int) -> np.ndarray:
     return level
 
 
-_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("name", pa.binary()), ("first", pa.list_(pa.int64())), ("others", pa.list_(pa.list_(pa.int64())))])
+_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("name", pa.binary()), ("first", pa.list_(pa.int64()))])
 
 
-def summaries(docs: DataFrame, n: int, percent: int, orders: int) -> DataFrame:
-    """(doc_id, n: set size, name: the set's 128-bit hash, prefixes under the first order and under the others)."""
-    level = docs.sparkSession.sparkContext.broadcast(common_levels(docs, n))
+def summaries(docs: DataFrame, level: Broadcast, n: int, percent: int) -> DataFrame:
+    """(doc_id, n: set size, name: the set's 128-bit hash, first: its prefix under the first order)."""
 
     def run(batches):
         for b in batches:
             sets = shingle_sets(*utf8(b.column(1)), n)
             names = [hashlib.blake2b(g.tobytes(), digest_size=16).digest() if len(g) else None for g in sets]
-            by_order = [[prefixes(g, level.value, percent, k).view(np.int64) if len(g) else [] for k in range(orders)] for g in sets]
-            yield batch(_SETS, b.column(0).cast(pa.int64()), [len(g) for g in sets], names, [x[0] for x in by_order], [x[1:] for x in by_order])
+            first = [prefixes(g, level.value, percent, 0).view(np.int64) if len(g) else [] for g in sets]
+            yield batch(_SETS, b.column(0).cast(pa.int64()), [len(g) for g in sets], names, first)
 
-    return arrow_map(docs.select("doc_id", "text"), run, "doc_id long, n long, name binary, first array<long>, others array<array<long>>")
+    return arrow_map(docs.select("doc_id", "text"), run, "doc_id long, n long, name binary, first array<long>")
 
 
+_OTHERS = pa.schema([("rep", pa.int64()), ("others", pa.list_(pa.list_(pa.int64())))])
 _SET = pa.schema([("rep", pa.int64()), ("tokens", pa.binary())])
 _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
+def ends(pairs: DataFrame) -> DataFrame:
+    """Settled (rep) of the texts in pairs."""
+    return settle(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct(), "ends")
+
+
+def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, text) of the documents wanted; few ids are broadcast, so that the texts need no shuffle."""
+    ids = wanted.select(F.col("rep").alias("doc_id"))
+    if wanted.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
+
+
+def other_prefixes(docs: DataFrame, wanted: DataFrame, level: Broadcast, n: int, percent: int) -> DataFrame:
+    """(rep, others: prefixes under the second order and on)."""
+
+    def run(batches):
+        for b in batches:
+            sets = shingle_sets(*utf8(b.column(1)), n)
+            yield batch(_OTHERS, b.column(0).cast(pa.int64()), [[prefixes(g, level.value, percent, k).view(np.int64) for k in range(1, ORDERS)] if len(g) else [] for g in sets])
+
+    return arrow_map(texts_of(docs, wanted), run, "rep long, others array<array<long>>")
+
+
 def whole_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(rep, tokens: sorted hashes) of the documents wanted; rows with equal ids have equal ends, one is kept."""
+    """(rep, tokens: sorted hashes)."""
 
     def run(batches):
         for b in batches:
             yield batch(_SET, b.column(0).cast(pa.int64()), [g.tobytes() for g in shingle_sets(*utf8(b.column(1)), n)])
 
-    rows = docs.select("doc_id", "text").join(wanted.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    return arrow_map(rows, run, "rep long, tokens binary")
+    return arrow_map(texts_of(docs, wanted), run, "rep long, tokens binary")
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -158,14 +184,19 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
-def verify(docs: DataFrame, pairs: DataFrame, others: DataFrame, n: int, percent: int) -> DataFrame:
+def verify(docs: DataFrame, pairs: DataFrame, level: Broadcast, n: int, percent: int) -> DataFrame:
     """Settled (a, b) of the pairs whose sets are similar; pairs must share prefix tokens under every other order first."""
-    left, right = (others.select(F.col("rep").alias(x), F.col("others").alias("o" + x)) for x in "ab")
+    pairs = settle(pairs, "pairs")
+    wanted = ends(pairs)
+    lists = settle(other_prefixes(docs, wanted, level, n, percent), "others")
+    left, right = (lists.select(F.col("rep").alias(x), F.col("others").alias("o" + x)) for x in "ab")
     shared = pairs.join(left, "a").join(right, "b")
     for k in range(ORDERS - 1):
         shared = shared.where(F.arrays_overlap(F.col("oa")[k], F.col("ob")[k]))
-    pairs = settle(shared.select("a", "b"), "candidates")
-    wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
+    candidates = settle(shared.select("a", "b"), "candidates")
+    for done in (lists, wanted, pairs):
+        discard(done)
+    wanted = ends(candidates)
     sets = settle(whole_sets(docs, wanted, n), "sets")
 
     def run(batches):
@@ -179,26 +210,26 @@ def verify(docs: DataFrame, pairs: DataFrame, others: DataFrame, n: int, percent
             at = pa.array(keep, pa.int64())
             yield batch(_LINK, b.column(0).take(at), b.column(1).take(at))
 
-    joined = pairs.join(sets.select(F.col("rep").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("tokens").alias("y")), "b")
+    joined = candidates.join(sets.select(F.col("rep").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("tokens").alias("y")), "b")
     links = settle(arrow_map(joined.select("a", "b", "x", "y"), run, "a long, b long").distinct(), "links")
-    discard(sets)
-    discard(pairs)
+    for done in (sets, candidates, wanted):
+        discard(done)
     return links
 
 
 def join_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, text) -> (doc_id, n_shingles, class_id, component_id): class_id is the smallest doc_id of an equal set,
     component_id the smallest reachable by links of at least percent hundredths of Jaccard similarity."""
-    made = settle(summaries(docs, words, percent, ORDERS), "summaries")
+    level = docs.sparkSession.sparkContext.broadcast(common_levels(docs, words))
+    made = settle(summaries(docs, level, words, percent), "summaries")
     classes = made.where("name is not null").groupBy("name").agg(F.min("doc_id").alias("rep"))
     classes = settle(classes.where("rep is not null"), "classes")
-    mine = made.join(classes.select("name", F.col("rep").alias("doc_id")), ["name", "doc_id"], "left_semi").dropDuplicates(["doc_id"])
+    mine = made.join(classes.select("name", F.col("rep").alias("doc_id")), ["name", "doc_id"], "left_semi")
     first = mine.select(F.col("doc_id").alias("rep"), "n", F.explode("first").alias("token"))
     counted = first.groupBy("token").agg(F.count("*").alias("m")).where("m > 1")
     rows = settle(first.join(counted, "token"), "shared")
     # how much of a text's prefix others share: the most shared is the likely origin of its copies
     central = rows.groupBy("rep").agg((F.sum(F.log2("m")) / F.first("n")).alias("c"))
-    others = settle(mine.select(F.col("doc_id").alias("rep"), "others").join(central.select("rep"), "rep", "left_semi"), "others")
     rows = rows.join(central, "rep").select("token", "rep", "n", "c", F.col("rep").alias("component"))
     links = None
     fits = F.expr(f"100 * least(n, n_hub) >= {percent} * greatest(n, n_hub)")
@@ -216,10 +247,10 @@ def join_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
             # the rest: every pair across components that shares a token
             a, b = (live.select("token", F.col("rep").alias(x), F.col("n").alias("n" + y), F.col("component").alias("c" + x)) for x, y in (("a", ""), ("b", "_hub")))
             pairs = a.join(b, "token").where("a < b and ca <> cb").where(fits).select("a", "b").distinct()
-            links = links.unionByName(verify(docs, pairs, others, words, percent))
+            links = links.unionByName(verify(docs, pairs, level, words, percent))
             break
         pairs = live.where("component <> c_hub").where(fits).select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-        new = verify(docs, pairs, others, words, percent)
+        new = verify(docs, pairs, level, words, percent)
         links = new if links is None else links.unionByName(new)
         named = settle(connected_components(links), "components")
         # a hub is done with its group: it has met every other text there
