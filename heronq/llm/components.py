@@ -17,6 +17,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     no edges give no rows.
     """
     now = settle(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "edges")
+    before = _digest(now)
     for _ in range(rounds):
         # large star: every greater neighbour of a node joins the node's least neighbour
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -28,11 +29,12 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").unionByName(least.select("u", F.col("m").alias("v")))
         new = settle(small.distinct(), "small")
         discard(large)
-        same = _digest(new) == _digest(now)
+        after = _digest(new)
         discard(now)
         now = new
-        if same:
+        if after == before:
             break
+        before = after
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

@@ -248,6 +248,7 @@ def join_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
             a, b = (live.select("token", F.col("rep").alias(x), F.col("n").alias("n" + y), F.col("component").alias("c" + x)) for x, y in (("a", ""), ("b", "_hub")))
             pairs = a.join(b, "token").where("a < b and ca <> cb").where(fits).select("a", "b").distinct()
             links = links.unionByName(verify(docs, pairs, level, words, percent))
+            named = connected_components(links)
             break
         pairs = live.where("component <> c_hub").where(fits).select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
         new = verify(docs, pairs, level, words, percent)
@@ -259,7 +260,6 @@ def join_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     if links is None:
         reps = classes.select("name", "rep", F.col("rep").alias("component"))
     else:
-        named = connected_components(links).withColumnRenamed("node", "rep")
-        reps = classes.join(named, "rep", "left").select("name", "rep", F.coalesce("component", "rep").alias("component"))
+        reps = classes.join(named.withColumnRenamed("node", "rep"), "rep", "left").select("name", "rep", F.coalesce("component", "rep").alias("component"))
     got = made.select("doc_id", "n", "name").join(reps, "name", "left")
     return got.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("class_id"), F.coalesce("component", "doc_id").alias("component_id"))
