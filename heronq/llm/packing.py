@@ -8,15 +8,19 @@ queue drops out. Windows are the consecutive spans of `window` tokens of the res
 The deficit of queue s after r rounds is r * credit(s) - sent(s, r) * slot, with
 sent(s, r) = min(slots(s), r * credit(s) div slot). So the place of any slot follows from
 arithmetic on the queues' totals alone: deficits carry across windows and across partitions
-without a task waiting for another, and only the totals (at most MAX_QUEUES rows) reach the driver.
+without a task waiting for another. Every source has a queue of its own, however many there are:
+totals of up to MAX_QUEUES queues go to the driver and the tasks; of more, the slots become a table
+sorted by round and queue, whose running sums are the same places.
 
-Defined results: null and empty texts are the end id alone; null sources are the queue ""; more
-than MAX_QUEUES sources share MAX_QUEUES queues by hash; repeated rows are packed again; other
-columns are ignored; an empty table gives no pieces. Only the last window can be short.
+Defined results: null and empty texts are the end id alone; null sources are the queue "";
+repeated rows are packed again; other columns are ignored; an empty table gives no pieces. Only the
+last window can be short.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -29,20 +33,22 @@ from heronq.llm.wordcache import library_encoder
 WINDOW = 2048
 #: Tokens that a queue sends at once; divides the window.
 SLOT = 256
-#: Queues at most.
+#: Queues whose totals are held in memory at most; slots of more are placed by a table.
 MAX_QUEUES = 64
-#: Credits are counted in parts of a token.
-SCALE = 64
+#: Credits are counted in parts of a token, so many that a source of few tokens keeps its share.
+SCALE = 1 << 20
+#: Slots made at once of a queue's row.
+SLOTS_AT_ONCE = 1 << 12
 
 
 class Schedule:
     """Places of slots and tokens under deficit round-robin with credits by target share."""
 
-    def __init__(self, totals: list[int], shares: list[float], window: int = WINDOW, slot: int = SLOT):
+    def __init__(self, totals: list[int], shares: list[float], window: int = WINDOW, slot: int = SLOT, whole: float | None = None):
         self.window, self.slot = window, slot
         self.totals = np.asarray(totals, np.int64)
         self.slots = -(-self.totals // slot)
-        whole = sum(shares) or 1.0
+        whole = (sum(shares) if whole is None else whole) or 1.0
         self.credit = np.asarray([max(1, round(x / whole * window * SCALE)) for x in shares], np.int64)
         self.cost = slot * SCALE
         self.rounds = -(-self.slots * self.cost // self.credit)  # after so many, a queue is empty
@@ -79,45 +85,55 @@ class Schedule:
 
     def pieces(self, queue: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Documents by queue, place in it and length -> (document, start in it, length, place in the stream) of each piece."""
-        first, last = start // self.slot, (start + length - 1) // self.slot
-        count = np.where(length > 0, last - first + 1, 0)
-        doc = np.repeat(np.arange(len(start)), count)
-        slot = np.repeat(first, count) + np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
-        a = np.maximum(start[doc], slot * self.slot)
-        b = np.minimum(start[doc] + length[doc], (slot + 1) * self.slot)
-        at = self.place(queue[doc], slot) + a - slot * self.slot
-        a = a - start[doc]
-        b = b - start[doc]
-        # cut where a window ends
-        edge = (at // self.window + 1) * self.window
-        over = np.flatnonzero(at + (b - a) > edge)
-        cut = edge[over] - at[over]
-        doc = np.concatenate([doc, doc[over]])
-        at2, a2, b2 = edge[over], a[over] + cut, b[over].copy()
-        b[over] = a2
-        a, b, at = np.concatenate([a, a2]), np.concatenate([b, b2]), np.concatenate([at, at2])
-        order = np.lexsort((a, doc))
-        doc, a, b, at = doc[order], a[order], b[order], at[order]
-        # join what is adjacent in document, stream and window
-        new = np.ones(len(doc), bool)
-        new[1:] = (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + (b - a)[:-1]) | (at[1:] % self.window == 0)
-        heads = np.flatnonzero(new)
-        tails = np.append(heads[1:], len(doc)) - 1 if len(doc) else heads
-        return doc[heads], a[heads], b[tails] - a[heads], at[heads]
+        doc, slot = slots_of(start, length, self.slot)
+        return cut_slots(doc, slot, self.place(queue[doc], slot), start, length, self.window, self.slot)
+
+
+def slots_of(start: np.ndarray, length: np.ndarray, slot: int) -> tuple[np.ndarray, np.ndarray]:
+    """(document, slot) of each slot that a document has tokens in."""
+    first, last = start // slot, (start + length - 1) // slot
+    count = np.where(length > 0, last - first + 1, 0)
+    doc = np.repeat(np.arange(len(start)), count)
+    return doc, np.repeat(first, count) + np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+
+
+def cut_slots(doc: np.ndarray, slots: np.ndarray, place: np.ndarray, start: np.ndarray, length: np.ndarray, window: int, slot: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """slots_of documents and the place of each slot's first token -> Schedule.pieces."""
+    a = np.maximum(start[doc], slots * slot)
+    b = np.minimum(start[doc] + length[doc], (slots + 1) * slot)
+    at = place + a - slots * slot
+    a = a - start[doc]
+    b = b - start[doc]
+    # cut where a window ends
+    edge = (at // window + 1) * window
+    over = np.flatnonzero(at + (b - a) > edge)
+    cut = edge[over] - at[over]
+    doc = np.concatenate([doc, doc[over]])
+    at2, a2, b2 = edge[over], a[over] + cut, b[over].copy()
+    b[over] = a2
+    a, b, at = np.concatenate([a, a2]), np.concatenate([b, b2]), np.concatenate([at, at2])
+    order = np.lexsort((a, doc))
+    doc, a, b, at = doc[order], a[order], b[order], at[order]
+    # join what is adjacent in document, stream and window
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + (b - a)[:-1]) | (at[1:] % window == 0)
+    heads = np.flatnonzero(new)
+    tails = np.append(heads[1:], len(doc)) - 1 if len(doc) else heads
+    return doc[heads], a[heads], b[tails] - a[heads], at[heads]
 
 
 _TOKENS = pa.schema([("doc_id", pa.int64()), ("queue", pa.string()), ("part", pa.int64()), ("local_start", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
 _PIECES = pa.schema([("doc_id", pa.int64()), ("queue", pa.string()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
+_PIECES_DDL = "doc_id long, queue string, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+_SLOTS = pa.schema([("queue", pa.string()), ("slot", pa.int64()), ("part", pa.int64()), ("local", pa.int64()), ("size", pa.int64())])
 
 
-def _queues(docs: DataFrame, max_queues: int) -> DataFrame:
-    """doc_id, text, queue."""
-    source = F.coalesce(F.col("source").cast("string"), F.lit(""))
-    few = len(docs.select(source.alias("s")).distinct().limit(max_queues + 1).collect()) <= max_queues
-    return docs.select("doc_id", "text", (source if few else F.pmod(F.xxhash64(source), F.lit(max_queues)).cast("string")).alias("queue"))
+def _queues(docs: DataFrame) -> DataFrame:
+    """doc_id, text, queue: the source."""
+    return docs.select("doc_id", "text", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("queue"))
 
 
-def tokenise(docs: DataFrame, tokenizer: str, end_id: int, max_queues: int = MAX_QUEUES) -> DataFrame:
+def tokenise(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """(doc_id, text, source) -> settled (doc_id, queue, part, local_start, n, ids): ids as u16 where they fit, and each
     document's place among those of its queue in its part of the input."""
 
@@ -134,7 +150,7 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int, max_queues: int = MAX
                 at[q] = starts[-1] + n
             yield batch(_TOKENS, b.column(0).cast(pa.int64()), queues, [part] * len(raw), starts, sizes, raw)
 
-    return settle(arrow_map(_queues(docs, max_queues), run, "doc_id long, queue string, part long, local_start long, n long, ids binary"), "tokens")
+    return settle(arrow_map(_queues(docs), run, "doc_id long, queue string, part long, local_start long, n long, ids binary"), "tokens")
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, targets: dict[str, float] | None = None, window: int = WINDOW, slot: int = SLOT, max_queues: int = MAX_QUEUES) -> DataFrame:
@@ -143,32 +159,90 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, targets: dict[str, fl
     targets: share of each source in a window, by default its share of all tokens; sources not named
     keep their share.
     """
-    tokens = tokenise(docs, tokenizer, end_id, max_queues)
+    tokens = tokenise(docs, tokenizer, end_id)
     parts = tokens.groupBy("queue", "part").agg(F.sum("n").alias("n_part"))
     earlier = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = parts.select("queue", "part", F.coalesce(F.sum("n_part").over(earlier), F.lit(0)).alias("base"))
-    totals = sorted((r.queue, r.n) for r in parts.groupBy("queue").agg(F.sum("n_part").alias("n")).collect())
-    names, sizes = [q for q, _ in totals], [n for _, n in totals]
-    whole = sum(sizes)
-    shares = [(targets or {}).get(q, n / whole) for q, n in totals]
+    placed = tokens.join(bases, ["queue", "part"]).select("doc_id", "queue", (F.col("local_start") + F.col("base")).alias("at"), "n", "ids")
+    totals = parts.groupBy("queue").agg(F.sum("n_part").alias("n"))
+    few = totals.limit(max_queues + 1).collect()
+    if len(few) > max_queues:
+        return _placed_by_table(placed, settle(totals, "totals"), targets or {}, window, slot)
+    few = sorted((r.queue, r.n) for r in few)
+    names, sizes = [q for q, _ in few], [n for _, n in few]
+    every = sum(sizes)
+    shares = [(targets or {}).get(q, n / every) for q, n in few]
+    whole = _whole(dict(few), every, targets or {})
 
     def run(batches):
-        schedule, number = Schedule(sizes, shares, window, slot), {q: i for i, q in enumerate(names)}
+        schedule, number = Schedule(sizes, shares, window, slot, whole), {q: i for i, q in enumerate(names)}
         for b in batches:
-            doc_ids, queues, n, raw = b.column(0), b.column(1), b.column(3), b.column(4).to_pylist()
-            lengths = n.to_numpy(zero_copy_only=False)
-            start = b.column(2).to_numpy(zero_copy_only=False)
-            queue = np.asarray([number[q] for q in queues.to_pylist()], np.int64)
-            doc, a, size, at = schedule.pieces(queue, start, lengths)
-            out = []
-            wide = [np.frombuffer(x, f"<u{len(x) // k}").astype("<u4").tobytes() if k else b"" for x, k in zip(raw, lengths.tolist())]
-            for d, s, m in zip(doc.tolist(), a.tolist(), size.tolist()):
-                out.append(wide[d][4 * s : 4 * (s + m)])
-            pick = pa.array(doc)
-            yield batch(_PIECES, doc_ids.take(pick), queues.take(pick), a, size, out, lengths[doc], at // window, at % window)
+            queue = np.asarray([number[q] for q in b.column(1).to_pylist()], np.int64)
+            yield _pieces(b, *schedule.pieces(queue, *(b.column(k).to_numpy(zero_copy_only=False) for k in (2, 3))), window)
+
+    return arrow_map(placed, run, _PIECES_DDL)
+
+
+def _whole(named: dict[str, int], every: int, targets: dict[str, float]) -> float:
+    """The sum of all shares, from the totals of the sources with a target (of others they may be there) and of all."""
+    with_target = {q: n for q, n in named.items() if q in targets}
+    return math.fsum([*(targets[q] for q in with_target), (every - sum(with_target.values())) / every if every else 0.0])
+
+
+def _pieces(b: pa.RecordBatch, doc: np.ndarray, a: np.ndarray, size: np.ndarray, at: np.ndarray, window: int) -> pa.RecordBatch:
+    """Rows (doc_id, queue, at, n, ids, ...) and what cut_slots says of them -> pieces."""
+    lengths, out = b.column(3).to_numpy(zero_copy_only=False), []
+    wide = [np.frombuffer(x, f"<u{len(x) // k}").astype("<u4").tobytes() if k else b"" for x, k in zip(b.column(4).to_pylist(), lengths.tolist())]
+    for d, s, m in zip(doc.tolist(), a.tolist(), size.tolist()):
+        out.append(wide[d][4 * s : 4 * (s + m)])
+    pick = pa.array(doc)
+    return batch(_PIECES, b.column(0).take(pick), b.column(1).take(pick), a, size, out, lengths[doc], at // window, at % window)
+
+
+def slot_places(totals: DataFrame, targets: dict[str, float], window: int, slot: int) -> DataFrame:
+    """totals (queue, n) -> settled (queue, slot, place) of every slot: Schedule.place as a table, for any number of queues."""
+    every = totals.agg(F.sum("n")).head()[0]
+    named = {r.queue: r.n for r in totals.where(F.col("queue").isin(*targets)).collect()} if targets else {}
+    share = F.col("n").cast("double") / F.lit(float(every))
+    if named:
+        given = F.create_map(*[F.lit(x) for q in named for x in (q, float(targets[q]))])
+        share = F.coalesce(F.try_element_at(given, F.col("queue")), share)
+    credit = F.rint(share / F.lit(_whole(named, every, targets) or 1.0) * F.lit(window) * F.lit(SCALE)).cast("long")
+    cost = slot * SCALE
+    rows = totals.select("queue", "n", F.greatest(F.lit(1), credit).alias("credit"), F.ceil(F.col("n") / slot).alias("slots"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.expr(f"(slots - 1) div {SLOTS_AT_ONCE}"))).alias("block")).repartition("queue", "block")
+    rows = rows.select("*", F.explode(F.sequence(F.col("block") * SLOTS_AT_ONCE, F.least("slots", (F.col("block") + 1) * SLOTS_AT_ONCE) - 1)).alias("slot"))
+    rows = rows.select(F.expr(f"((slot + 1) * {cost}L + credit - 1) div credit").alias("round"), "queue", "slot", F.least(F.lit(slot), F.col("n") - F.col("slot") * slot).alias("size"))
+    order = ["round", "queue", "slot"]
 
-    placed = tokens.join(bases, ["queue", "part"]).select("doc_id", "queue", (F.col("local_start") + F.col("base")).alias("at"), "n", "ids")
-    return arrow_map(placed, run, "doc_id long, queue string, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    def run(batches):
+        at, part = 0, TaskContext.get().partitionId()
+        for b in batches:
+            size = b.column(2).to_numpy(zero_copy_only=False)
+            local = at + np.cumsum(size) - size
+            at += int(size.sum())
+            yield batch(_SLOTS, b.column(0), b.column(1), [part] * len(size), local, size)
+
+    local = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("queue", "slot", "size")
+    local = settle(arrow_map(local, run, "queue string, slot long, part long, local long, size long"), "slots")
+    sums = local.groupBy("part").agg(F.sum("size").alias("n"))
+    base = sums.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    return local.join(base, "part").select("queue", "slot", (F.col("local") + F.col("base")).alias("place"))
+
+
+def _placed_by_table(placed: DataFrame, totals: DataFrame, targets: dict[str, float], window: int, slot: int) -> DataFrame:
+    """placed (doc_id, queue, at, n, ids) -> pieces. Every document has a token, so (queue, at) names it."""
+    touched = placed.select("queue", "at", F.explode(F.sequence(F.expr(f"at div {slot}"), F.expr(f"(at + n - 1) div {slot}"))).alias("slot"))
+    touched = touched.join(slot_places(totals, targets, window, slot), ["queue", "slot"])
+    places = touched.groupBy("queue", "at").agg(F.sort_array(F.collect_list(F.struct("slot", "place"))).getField("place").alias("places"))
+
+    def run(batches):
+        for b in batches:
+            start, length = (b.column(k).to_numpy(zero_copy_only=False) for k in (2, 3))
+            place = b.column(5).flatten().to_numpy(zero_copy_only=False)
+            yield _pieces(b, *cut_slots(*slots_of(start, length, slot), place, start, length, window, slot), window)
+
+    return arrow_map(placed.join(places, ["queue", "at"]).select("doc_id", "queue", "at", "n", "ids", "places"), run, _PIECES_DDL)
 
 
 def sequences(pieces: DataFrame, pad_id: int = 0, window: int = WINDOW) -> DataFrame:

@@ -73,3 +73,21 @@ def test_odd_rows_targets_and_many_sources(spark):
     assert packing.pack(docs.limit(0), FILE).count() == 0
     made = packing.sequences(packing.pack(docs, FILE), pad_id=0).collect()
     assert all(len(r.ids) == 4 * packing.WINDOW or bin(r.used).count("1") == 1 for r in made)
+
+
+def test_more_sources_than_fit_in_memory_keep_queues_and_targets(spark):
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(i * 7 % 90)), str(i % 70) if i % 2 else "big") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    ordered = lambda df: sorted((r.queue, r.sequence_id, r.offset, r.doc_id, r.start, r.length, bytes(r.ids)) for r in df.collect())
+    for targets in (None, {"5": 0.5, "big": 0.2, "no such source": 0.3}):
+        in_memory = ordered(packing.pack(docs, FILE, targets=targets, window=64, slot=16, max_queues=1000))
+        assert {r[0] for r in in_memory} == {r[2] for r in rows}
+        assert ordered(packing.pack(docs, FILE, targets=targets, window=64, slot=16, max_queues=3)) == in_memory
+
+
+def test_seventy_sources_by_name(spark):
+    docs = spark.createDataFrame([(i, "some words " * 40, f"source {i % 70}") for i in range(210)], "doc_id long, text string, source string")
+    got = packing.pack(docs, FILE, targets={"source 5": 0.5}, window=64, slot=16).collect()
+    assert {r.queue for r in got} == {f"source {i}" for i in range(70)}
+    last = max(r.sequence_id for r in got if r.queue == "source 5")
+    assert last < max(r.sequence_id for r in got) / 10  # half of each window until it is empty
