@@ -14,9 +14,10 @@ is an aggregate with partial sums and an equi-join, so a passage in a third of a
 task gather it.
 
 Defined results: null texts, and texts without words, keep the empty text; texts shorter than the
-window keep all their words; kept words are joined by one space; rows with equal doc_ids name the same
-windows, so neither is earlier than the other; null doc_ids count as one id after all others; other columns are
-ignored; an empty table gives no rows.
+window keep all their words; kept words are joined by one space; of rows with equal doc_ids neither is
+earlier than the other; null doc_ids count as one id after all others; what is found is kept by row, so rows
+that share an id, null too, are judged each by its own text; other columns are ignored; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ from pyspark.sql import types as T
 from heronq.llm.common import arrow_map, batch, discard, mix, ngram_hashes, settle, utf8, word_hashes, word_spans
 
 LAST = (1 << 63) - 1
+#: What names a row.
+ROW = ["key", "text_id"]
 _A, _B = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 
 
@@ -90,22 +93,33 @@ def batch_rows(column: pa.Array):
     return [words[a:z] for a, z in zip(first[:-1].tolist(), first[1:].tolist())]
 
 
-_FIRST = pa.schema([("key", pa.int64()), ("n_words", pa.int64()), ("name", pa.binary()), ("p", pa.list_(pa.int32())), ("h", pa.list_(pa.int64())), ("r", pa.list_(pa.int64())), ("l", pa.list_(pa.int64()))])
-_FULL = pa.schema([("key", pa.int64()), ("start", pa.list_(pa.int32())), ("h", pa.list_(pa.int64())), ("again", pa.list_(pa.int32()))])
+_FIRST = pa.schema([("key", pa.int64()), ("text_id", pa.binary()), ("n_words", pa.int64()), ("name", pa.binary()), ("p", pa.list_(pa.int32())), ("h", pa.list_(pa.int64())), ("r", pa.list_(pa.int64())), ("l", pa.list_(pa.int64()))])
+_FULL = pa.schema([("key", pa.int64()), ("text_id", pa.binary()), ("start", pa.list_(pa.int32())), ("h", pa.list_(pa.int64())), ("again", pa.list_(pa.int32()))])
 _KEPT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())])
 
 
-def _key(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("key"), "text", "doc_id")
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with key, the doc_id or LAST, and text_id: empty where the doc_id is the row's alone, else the text's 128-bit name.
+
+    Rows that agree in both have the same id and text, so they get the same result.
+    """
+    docs = docs.withColumn("key", F.coalesce("doc_id", F.lit(LAST)).cast("long"))
+    name = F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    shared = settle(docs.where("key <> %d" % LAST).groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key", F.lit(True).alias("shared")), "shared")
+    if shared.head(1):
+        docs = docs.join(shared, "key", "left")
+    else:
+        docs = docs.withColumn("shared", F.lit(None).cast("boolean"))
+    return docs.withColumn("text_id", F.when((F.col("key") == LAST) | F.col("shared"), name).otherwise(F.lit(b""))).drop("shared")
 
 
 def first_level(docs: DataFrame, window: int) -> DataFrame:
-    """(key, n_words, name of the word sequence, anchors) of each text; name and anchors are null for short texts."""
+    """keyed docs -> (key, text_id, n_words, name of the word sequence, anchors) of each text; name and anchors are null for short texts."""
 
     def run(batches):
         for b in batches:
             sizes, names, parts = [], [], ([], [], [], [])
-            for words in batch_rows(b.column(1)):
+            for words in batch_rows(b.column(2)):
                 sizes.append(len(words))
                 if len(words) < window:
                     names.append(None)
@@ -116,41 +130,39 @@ def first_level(docs: DataFrame, window: int) -> DataFrame:
                 p, h, r, left = Row(words, window).candidates()
                 for x, v in zip(parts, (p.astype(np.int32), h.view(np.int64), r.view(np.int64), left.view(np.int64))):
                     x.append(v)
-            yield batch(_FIRST, b.column(0), sizes, names, *parts)
+            yield batch(_FIRST, b.column(0), b.column(1), sizes, names, *parts)
 
-    return arrow_map(_key(docs).select("key", "text"), run, "key long, n_words long, name binary, p array<int>, h array<long>, r array<long>, l array<long>")
+    return arrow_map(docs.select("key", "text_id", "text"), run, "key long, text_id binary, n_words long, name binary, p array<int>, h array<long>, r array<long>, l array<long>")
 
 
 def full_windows(docs: DataFrame, survivors: DataFrame, window: int) -> DataFrame:
-    """survivors (key, right, left: places of anchors) -> (key, start, h: the first of each distinct window in the text, again: starts of the others)."""
+    """keyed docs, survivors (key, text_id, right, left: places of anchors) -> (key, text_id, start, h: the first of each distinct window in the text, again: starts of the others)."""
 
     def run(batches):
         for b in batches:
-            keys, out = [], ([], [], [])
-            for key, words, right, left in zip(b.column(0).to_pylist(), batch_rows(b.column(1)), b.column(2), b.column(3)):
+            out = ([], [], [])
+            for words, right, left in zip(batch_rows(b.column(2)), b.column(3), b.column(4)):
                 row = Row(words, window)
                 right, left = (np.asarray(x.values.to_numpy(zero_copy_only=False), np.int64) for x in (right, left))
-                # rows with equal keys share survivors; places beyond a text's end are another row's
-                starts = row.windows(right[right < len(row.first)], left[left < len(row.first)])
+                starts = row.windows(right, left)
                 half = double(row.half, 2 * row.base) if window == 4 * row.base else ngram_hashes(words, window)
                 h, at = np.unique(half[starts], return_index=True)
                 again = np.ones(len(starts), bool)
                 again[at] = False
-                keys.append(key)
                 for x, v in zip(out, (starts[at].astype(np.int32), h.view(np.int64), starts[again].astype(np.int32))):
                     x.append(v)
-            yield batch(_FULL, keys, *out)
+            yield batch(_FULL, b.column(0), b.column(1), *out)
 
-    rows = _key(docs).select("key", "text").join(survivors, "key")
-    return arrow_map(rows.select("key", "text", "right", "left"), run, "key long, start array<int>, h array<long>, again array<int>")
+    rows = docs.select("key", "text_id", "text").join(survivors, ROW)
+    return arrow_map(rows.select("key", "text_id", "text", "right", "left"), run, "key long, text_id binary, start array<int>, h array<long>, again array<int>")
 
 
 def keep_rest(docs: DataFrame, marks: DataFrame, window: int, keep_layout: bool = False) -> DataFrame:
-    """marks (key, rep, start, again) -> the texts without the words that marked windows cover, without all if rep is another text.
+    """keyed docs, marks (key, text_id, rep, start, again) -> the texts without the words that marked windows cover, without all if rep is another text.
 
     The other columns of docs but text come along, after those of the result, under the names c0, c1, ...
     """
-    carried = [c for c in docs.columns if c not in ("doc_id", "text")]
+    carried = [c for c in docs.columns if c not in ("doc_id", "text", *ROW)]
     fields = [docs.schema[c] for c in carried]
 
     def run(batches):
@@ -167,7 +179,6 @@ def keep_rest(docs: DataFrame, marks: DataFrame, window: int, keep_layout: bool
                     continue
                 marks_ = [np.asarray(x[k].values.to_numpy(zero_copy_only=False), np.int64) for x in (b.column(4), b.column(5)) if x[k].is_valid]
                 at = np.concatenate(marks_) if marks_ else np.zeros(0, np.int64)
-                at = at[at + window <= len(words)]
                 if not len(at) and keep_layout:
                     removed.append(0)
                     kept.append(raw[offsets[k] : offsets[k + 1]].decode("utf-8", "replace"))
@@ -186,7 +197,7 @@ def keep_rest(docs: DataFrame, marks: DataFrame, window: int, keep_layout: bool
             more = b.columns[6:]
             yield pa.RecordBatch.from_arrays([*made.columns, *more], names=[*_KEPT.names, *(f"c{i}" for i in range(len(more)))])
 
-    rows = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("key"), F.col("doc_id").cast("long").alias("id"), "text", *[F.col(c).alias(f"c{i}") for i, c in enumerate(carried)]).join(marks, "key", "left")
+    rows = docs.select(*ROW, F.col("doc_id").cast("long").alias("id"), "text", *[F.col(c).alias(f"c{i}") for i, c in enumerate(carried)]).join(marks, ROW, "left")
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())] + [T.StructField(f"c{i}", f.dataType) for i, f in enumerate(fields)])
     return arrow_map(rows.select("key", "id", "text", "rep", "start", "again", *[f"c{i}" for i in range(len(carried))]), run, schema)
 
@@ -198,48 +209,49 @@ def repeated(rows: DataFrame, column: str) -> DataFrame:
 
 def substring_dedup(docs: DataFrame, window: int = 20) -> DataFrame:
     """(doc_id, text) -> (doc_id, n_words, n_removed, kept_text), one row a document."""
-    docs = docs.select("doc_id", "text")
+    docs = keyed(docs.select("doc_id", "text"))
     return keep_rest(docs, find_repeats(docs, window), window)
 
 
 def without_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     """docs with repeated passages cut from text; texts without any keep their layout, all other columns stay."""
     names = [c for c in docs.columns if c not in ("doc_id", "text")]
-    got = keep_rest(docs, find_repeats(docs, window), window, keep_layout=True)
+    rows = keyed(docs.select("doc_id", "text", *[F.col(c).alias(f"c{i}") for i, c in enumerate(names)]))
+    got = keep_rest(rows, find_repeats(rows, window), window, keep_layout=True)
     where = {"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType), "text": F.col("kept_text")} | {c: F.col(f"c{i}") for i, c in enumerate(names)}
     return got.select(*[where[c].alias(c) for c in docs.columns])
 
 
 def find_repeats(docs: DataFrame, window: int) -> DataFrame:
-    """(key, rep, start, again): for texts that repeat, the smallest id of an equal text, and starts of windows that start earlier elsewhere."""
+    """keyed docs -> (key, text_id, rep, start, again): for texts that repeat, the smallest id of an equal text, and starts of windows that start earlier elsewhere."""
     if window < 2:
         raise ValueError("a window has two words at least")
     made = settle(first_level(docs, window), "first")
     named = made.where("name is not null")
     classes = settle(named.groupBy("name").agg(F.min("key").alias("rep")), "classes")
-    whole = settle(named.select("key", "name").join(classes, "name").select("key", "rep").groupBy("key").agg(F.min("rep").alias("rep")).where("key <> rep"), "whole")
+    whole = settle(named.select(*ROW, "name").join(classes, "name").select(*ROW, "rep").groupBy(*ROW).agg(F.min("rep").alias("rep")).where("key <> rep"), "whole")
     mine = named.join(classes.select("name", F.col("rep").alias("key")), ["name", "key"], "left_semi")
     # level 1: anchors that repeat
-    rows = mine.select("key", F.explode(F.arrays_zip("p", "h", "r", "l")).alias("x")).select("key", "x.p", "x.h", "x.r", "x.l")
-    rows = settle(rows.join(repeated(rows.select("h"), "h"), "h").select("key", "p", "r", "l"), "level1")
+    rows = mine.select(*ROW, F.explode(F.arrays_zip("p", "h", "r", "l")).alias("x")).select(*ROW, "x.p", "x.h", "x.r", "x.l")
+    rows = settle(rows.join(repeated(rows.select("h"), "h"), "h").select(*ROW, "p", "r", "l"), "level1")
     discard(made)
     discard(classes)
     # level 2: anchors doubled to either side
-    sides = rows.select("key", "p", F.explode(F.array(F.struct(F.lit(True).alias("right"), F.col("r").alias("h")), F.struct(F.lit(False).alias("right"), F.col("l").alias("h")))).alias("x")).select("key", "p", "x.right", "x.h").where("h <> 0")
+    sides = rows.select(*ROW, "p", F.explode(F.array(F.struct(F.lit(True).alias("right"), F.col("r").alias("h")), F.struct(F.lit(False).alias("right"), F.col("l").alias("h")))).alias("x")).select(*ROW, "p", "x.right", "x.h").where("h <> 0")
     sides = sides.join(repeated(sides.select("h"), "h"), "h")
     place = lambda right: F.sort_array(F.collect_list(F.when(F.col("right") == right, F.col("p"))))
-    survivors = settle(sides.groupBy("key").agg(place(True).alias("right"), place(False).alias("left")), "level2")
+    survivors = settle(sides.groupBy(*ROW).agg(place(True).alias("right"), place(False).alias("left")), "level2")
     discard(rows)
     # level 3: whole windows
     full = settle(full_windows(docs, survivors, window), "full")
     discard(survivors)
-    each = full.select("key", F.explode(F.arrays_zip("start", "h")).alias("x")).select("key", "x.start", "x.h")
-    earliest = each.groupBy("h").agg(F.min(F.struct("key", "start")).alias("e"), F.count("*").alias("m")).where("m > 1").select("h", "e")
-    late = each.join(earliest, "h").where(F.struct("key", "start") != F.col("e"))
-    starts = late.groupBy("key").agg(F.collect_list("start").alias("start"))
-    again = full.where(F.size("again") > 0).groupBy("key").agg(F.flatten(F.collect_list("again")).alias("again"))
-    marks = whole.join(starts, "key", "full").join(again, "key", "full")
-    marks = settle(marks.select("key", "rep", "start", "again"), "marks")
+    each = full.select(*ROW, F.explode(F.arrays_zip("start", "h")).alias("x")).select(*ROW, "x.start", "x.h")
+    earliest = each.groupBy("h").agg(F.min("key").alias("e"), F.count("*").alias("m")).where("m > 1").select("h", "e")
+    late = each.join(earliest, "h").where("key > e")  # a row's own repeats are in again
+    starts = late.groupBy(*ROW).agg(F.collect_list("start").alias("start"))
+    again = full.where(F.size("again") > 0).groupBy(*ROW).agg(F.flatten(F.collect_list("again")).alias("again"))
+    marks = whole.join(starts, ROW, "full").join(again, ROW, "full")
+    marks = settle(marks.select(*ROW, "rep", "start", "again"), "marks")
     discard(full)
     discard(whole)
     return marks

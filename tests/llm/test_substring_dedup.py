@@ -62,6 +62,23 @@ def test_empty_nulls_and_equal_ids(spark):
     assert got == [(4, 30, 0), (4, 30, 0), (5, 0, 0), (9, 30, 30), (None, 30, 30)]
 
 
+def test_rows_that_share_an_id_are_judged_by_their_own_text(spark):
+    from heronq.llm.substring_dedup import without_repeats
+
+    words = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    text, passage = words("w", 30), words("p", 25)
+    for shared in (None, 7):
+        copy, clean, short, late = text, words("x", 60), "a few words", f"{words('y', 10)} {passage} {words('z', 10)}"
+        df = spark.createDataFrame([(3, text), (4, passage), *((shared, t) for t in (copy, clean, short, late, late))], "doc_id long, text string")
+        got = sorted((r.n_words, r.n_removed, r.kept_text) for r in substring_dedup(df).collect() if r.doc_id == shared)
+        cut = (45, 25, f"{words('y', 10)} {words('z', 10)}")
+        assert got == sorted([(30, 30, ""), (60, 0, clean), (3, 0, short), cut, cut])
+        assert sorted(r.text for r in without_repeats(df).collect() if r.doc_id == shared) == sorted(x[2] for x in got)
+    a, b = f"{words('a', 5)} {passage}", f"{passage} {words('b', 9)} {passage}"
+    got = substring_dedup(spark.createDataFrame([(7, a), (7, b)], "doc_id long, text string")).collect()
+    assert sorted((r.n_words, r.n_removed) for r in got) == [(30, 0), (59, 25)]  # neither row is earlier; b repeats itself
+
+
 def test_nothing_repeats(spark):
     df = spark.createDataFrame([(i, " ".join(f"{i}x{k}" for k in range(50))) for i in range(5)], "doc_id long, text string")
     assert all(r.n_removed == 0 for r in substring_dedup(df).collect())
