@@ -1,51 +1,56 @@
 """N-gram Jaccard join by filtering under several global token orders.
 
 A text's set holds the hashes of its distinct n-word shingles (of the whole word sequence if shorter).
-Texts with equal sets are folded into one representative first. For similarity t, two sets of at
-least t overlap share a token within their first |s| - ceil(t |s|) + 1 tokens under any global order,
-hence under each of several. The orders used here put tokens that a fixed-size count sketch found
-in many texts last and break ties by different hashes. Candidates come from the first order's
-prefixes and must share a token under the others too (and fit in size) before their sets are
-intersected.
+Texts with equal sets are folded into one class first, named by 128 bits of the set. For similarity t
+the join goes through these filters, each exact in that no similar pair is lost:
+
+1. Held tokens. Only tokens that another set holds too can be shared, so a set of which less than
+   t |s| tokens are held elsewhere has no partner. Tokens are counted over all sets: chunks of texts send
+   each token once to the task of its hash bucket, tokens of several sets of a chunk without their owners, so
+   that a token of a third of all texts is one row a chunk.
+2. Prefixes under ORDERS global orders of the tokens of the sets left. Two similar sets share a token
+   within their first |s| - ceil(t |s|) + 1 tokens under any order, hence under each of several. Every order
+   puts rare tokens first: the first by their exact count, the others by its logarithm with ties broken
+   by different hashes. Candidates come from the first order's prefixes, where sizes and the places of the shared
+   token must leave room for the overlap; they must share prefix tokens under all others too, before
+   their sets are intersected.
 
 Links are wanted for their components, so pairs are made sparingly: within a token's group every text is
-first compared with one hub, the text whose prefix is shared most; groups that thereby fall into one
-component are done, and only pairs across components are joined. No group is gathered in one task,
-and no pair that could link two components is skipped.
+first compared with one hub, the text whose prefix is shared most. When a round of hubs finds no link any more
+(or after HUB_ROUNDS), what is left is joined across components by token and size band, the lesser
+set of a pair by its shorter index prefix, so that texts far from each other are not paired however large their
+group. No group is gathered in one task, and no pair that could link two components is skipped.
 
 Defined results: null texts and texts without words have empty sets, link with nothing and are
-their own component; repeated rows and equal doc_ids fall into one class; null doc_ids join the
-class of an equal set but never name it; very long texts have all their shingles; other columns are
-ignored; an empty table gives no rows.
+their own component; repeated rows and equal doc_ids fall into one class; rows with a null doc_id take part like
+others, but their id names a class or component only where no row of it has another (then it is null); very long
+texts have all their shingles; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heronq.llm.common import LOWER, arrow_map, batch, discard, mix, ngram_hashes, settle, utf8, word_hashes, word_spans
 from heronq.llm.components import connected_components
 
-#: Slots of the count sketch: the size of what is broadcast, whatever the corpus.
-SLOT_BITS = 22
-#: A shingle counts as common from so many texts in one stretch of input, and a slot from so many in all.
-LOCAL_COMMON, COMMON = 3, 8
-#: Shingles counted at once.
-STRETCH = 1 << 22
+#: Tokens of a chunk of texts counted together, and of a hash bucket on average.
+CHUNK_TOKENS, BUCKET_TOKENS = 1 << 20, 1 << 21
+#: Bits of a token that are sent to its bucket; what looks equal there only passes a filter.
+SENT_BITS = 40
+#: Stands for the owners of a token that several sets of a chunk hold.
+SEVERAL = -(1 << 63)
 #: Orders; the first makes candidates, the others filter them.
 ORDERS = 3
-#: Pairs across components that are joined without another round of hubs, and rounds after which they are joined anyway.
-MOST_PAIRS = 5_000_000
+#: Rounds of hubs at most.
 HUB_ROUNDS = 8
-#: Ids of documents wanted that are broadcast instead of shuffling all texts (8 bytes each).
-BROADCAST_IDS = 2_000_000
+#: Size bands a doubling of the size.
+BANDS = 16
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarray]:
@@ -66,200 +71,288 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarr
     return out
 
 
-def prefix_length(n: np.ndarray | int, percent: int):
-    """Tokens of which similar sets share one."""
-    return n - (percent * n + 99) // 100 + 1
+def set_name(g: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(g.tobytes(), digest_size=16).digest() if len(g) else None
 
 
-def slots(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+def owner_of(name: bytes | None) -> int:
+    """The 64 bits of a set's name by which it is known in the join."""
+    return int.from_bytes(name[:8], "little", signed=True) if name else 0
 
 
-def prefixes(g: np.ndarray, level: np.ndarray, percent: int, order: int) -> np.ndarray:
-    """The first tokens of a set under an order, as hashes that tell orders apart."""
-    p = int(prefix_length(len(g), percent))
-    tie = mix(g ^ np.uint64(0x51ED270B0A1F39D1 * (order + 1) % (1 << 64)))
-    key = (level[slots(g)].astype(np.uint64) << np.uint64(58)) | (tie >> np.uint64(6))
-    return g[np.argpartition(key, p - 1)[:p]] if p < len(g) else g
-
+def prefix_length(n: np.ndarray | int, percent: int):
+    """Tokens of which similar sets share one."""
+    return n - (percent * n + 99) // 100 + 1
 
-_COUNTS = pa.schema([("slot", pa.list_(pa.int32())), ("n", pa.list_(pa.int32()))])
 
+_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("name", pa.binary()), ("owner", pa.int64())])
 
-def common_levels(docs: DataFrame, n: int) -> np.ndarray:
-    """u8 by slot: 0 for slots of rare shingles, else the rounded log of the texts counted there. Its size is fixed."""
 
-    def common(batches):
-        held, seen, total = [], set(), 0
+def summaries(docs: DataFrame, n: int) -> DataFrame:
+    """(doc_id, n: set size, name: the set's 128-bit hash, owner: half of it)."""
 
-        def flush():
-            h = np.sort(np.concatenate(held))
-            heads = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            runs = np.diff(np.append(heads, len(h)))
-            many = runs >= LOCAL_COMMON
-            return batch(_COUNTS, [slots(h[heads[many]]).astype(np.int32)], [runs[many].astype(np.int32)])
+    def run(batches):
+        for b in batches:
+            sets = shingle_sets(*utf8(b.column(1)), n)
+            names = [set_name(g) for g in sets]
+            yield batch(_SETS, b.column(0).cast(pa.int64()), [len(g) for g in sets], names, [owner_of(x) for x in names])
+
+    return arrow_map(docs.select("doc_id", "text"), run, "doc_id long, n long, name binary, owner long")
+
+
+_POSTINGS = pa.schema([("bucket", pa.int32()), ("owners", pa.binary()), ("runs", pa.binary()), ("tokens", pa.binary())])
+
+
+def chunk_postings(sets: list[np.ndarray], owners: list[int], buckets: int) -> pa.RecordBatch:
+    """Rows (bucket, owners, tokens of each, tokens) of a chunk of different sets. One more row, without tokens, has for each set
+    how many of its tokens other sets of the chunk hold."""
+    token = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(g) for g in sets])
+    order = np.argsort(token)
+    token, owner = token[order], owner[order]
+    head = np.concatenate([[True], token[1:] != token[:-1]])
+    runs = np.diff(np.append(np.flatnonzero(head), len(token)))
+    several = np.repeat(runs > 1, runs)
+    local = np.bincount(owner[several], minlength=len(sets))
+    once = head & several
+    token = np.concatenate([token[~several], token[once]])
+    owner = np.concatenate([owner[~several], np.full(int(once.sum()), len(sets))])
+    place = ((token >> np.uint64(SENT_BITS)) % np.uint64(buckets)).astype(np.int64) * (len(sets) + 1) + owner
+    order = np.argsort(place)
+    token, place = token[order], place[order]
+    heads = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+    runs = np.diff(np.append(heads, len(place))).astype("<u4")
+    number = np.asarray([*owners, SEVERAL], "<i8")
+    whose, bucket = number[place[heads] % (len(sets) + 1)], place[heads] // (len(sets) + 1)
+    raw = np.ascontiguousarray(token.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : SENT_BITS // 8])
+    first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+    edge, at = [*first.tolist(), len(heads)], [*heads[first].tolist(), len(token)]
+    some = np.flatnonzero(local)
+    return batch(
+        _POSTINGS,
+        [*bucket[first].tolist(), owners[0] % buckets],
+        [*(whose[a:z].tobytes() for a, z in zip(edge, edge[1:])), number[some].tobytes()],
+        [*(runs[a:z].tobytes() for a, z in zip(edge, edge[1:])), local[some].astype("<u4").tobytes()],
+        [*(raw[a:z].tobytes() for a, z in zip(at, at[1:])), b""],
+    )
+
+
+def postings(docs: DataFrame, n: int, buckets: int) -> DataFrame:
+    """chunk_postings of the texts' sets; a set that stands in several chunks has the same owner in each."""
 
+    def run(batches):
+        held: dict[int, np.ndarray] = {}
+        total = 0
         for b in batches:
             for g in shingle_sets(*utf8(b.column(0)), n):
-                name = hash(g.tobytes())
-                if len(g) and name not in seen:
-                    seen.add(name)
-                    held.append(g)
+                if len(g) and (owner := owner_of(set_name(g))) not in held:
+                    held[owner] = g
                     total += len(g)
-            if total >= STRETCH:
-                yield flush()
-                held, seen, total = [], set(), 0
+                if total >= CHUNK_TOKENS:
+                    yield chunk_postings([*held.values()], [*held], buckets)
+                    held, total = {}, 0
         if held:
-            yield flush()
+            yield chunk_postings([*held.values()], [*held], buckets)
 
-    got = arrow_map(docs.select("text"), common, "slot array<int>, n array<int>").select(F.explode(F.arrays_zip("slot", "n")).alias("x"))
-    got = got.groupBy("x.slot").agg(F.sum("x.n").alias("n")).where(F.col("n") >= COMMON)
-    level = np.zeros(1 << SLOT_BITS, np.uint8)
-    for part in got.select("slot", F.least(F.lit(63), F.log2("n").cast("int")).alias("level")).toArrow().to_batches():
-        level[part.column(0).to_numpy()] = part.column(1).to_numpy()
-    return level
+    return arrow_map(docs.select("text"), run, "bucket int, owners binary, runs binary, tokens binary")
 
 
-_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("name", pa.binary()), ("first", pa.list_(pa.int64()))])
+_HELD = pa.schema([("owner", pa.int64()), ("c", pa.int64())])
 
 
-def summaries(docs: DataFrame, level: Broadcast, n: int, percent: int) -> DataFrame:
-    """(doc_id, n: set size, name: the set's 128-bit hash, first: its prefix under the first order)."""
+def held_counts(table: pa.Table) -> pa.Table:
+    """The rows of a bucket -> for each owner how many of its tokens here another set holds too."""
+    owners, runs, token, known = [], [], [], []
+    for o, r, t in zip(*(table[c].to_pylist() for c in ("owners", "runs", "tokens"))):
+        o, r = np.frombuffer(o, "<i8"), np.frombuffer(r, "<u4").astype(np.int64)
+        if t:
+            owners.append(o)
+            runs.append(r)
+            token.append(np.frombuffer(t, np.uint8).reshape(-1, SENT_BITS // 8))
+        else:
+            known.append(np.stack([o, r]))
+    out = [np.concatenate(known, axis=1)] if known else []
+    if token:
+        wide = np.zeros((sum(map(len, token)), 8), np.uint8)
+        wide[:, : SENT_BITS // 8] = np.concatenate(token)
+        token = wide.view("<u8")[:, 0]
+        owner = np.repeat(np.concatenate(owners), np.concatenate(runs))
+        order = np.argsort(token)
+        token, owner = token[order], owner[order]
+        heads = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        size = np.diff(np.append(heads, len(token)))
+        other = (owner != np.repeat(owner[heads], size)) | (owner == SEVERAL)
+        repeated = np.repeat(np.logical_or.reduceat(other, heads), size) & (owner != SEVERAL)
+        out.append(np.stack(np.unique(owner[repeated], return_counts=True)))
+    both = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+    return pa.Table.from_arrays([pa.array(both[0], pa.int64()), pa.array(both[1], pa.int64())], schema=_HELD)
+
+
+_TOKENS = pa.schema([("name", pa.binary()), ("n", pa.int64()), ("tokens", pa.list_(pa.int64()))])
+
+
+def sets_left(docs: DataFrame, made: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
+    """Settled (owner, n, tokens) of the classes (name, rep, n, owner) of which enough tokens are held by others."""
+    spark = docs.sparkSession
+    total = made.agg(F.sum("n")).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_TOKENS))
+    counted = postings(docs, n, buckets).groupBy("bucket").applyInArrow(held_counts, "owner long, c long").groupBy("owner").agg(F.sum("c").alias("c"))
+    left = settle(classes.join(counted, "owner").where(F.col("c") * 100 >= F.col("n") * percent).select("name", "rep", "owner"), "left")
 
     def run(batches):
         for b in batches:
-            sets = shingle_sets(*utf8(b.column(1)), n)
-            names = [hashlib.blake2b(g.tobytes(), digest_size=16).digest() if len(g) else None for g in sets]
-            first = [prefixes(g, level.value, percent, 0).view(np.int64) if len(g) else [] for g in sets]
-            yield batch(_SETS, b.column(0).cast(pa.int64()), [len(g) for g in sets], names, first)
+            sets = shingle_sets(*utf8(b.column(0)), n)
+            yield batch(_TOKENS, [set_name(g) for g in sets], [len(g) for g in sets], [g.view(np.int64) for g in sets])
 
-    return arrow_map(docs.select("doc_id", "text"), run, "doc_id long, n long, name binary, first array<long>")
+    rows, ids = docs.select("doc_id", "text"), left.select("rep")
+    texts = rows.join(ids, rows["doc_id"].eqNullSafe(ids["rep"]), "left_semi").select("text")
+    # rows that share an id can have other sets: the name decides
+    named = arrow_map(texts, run, "name binary, n long, tokens array<long>").join(left.select("name", "owner"), "name")
+    return settle(named.dropDuplicates(["name"]).select("owner", "n", "tokens"), "sets")
 
 
-_OTHERS = pa.schema([("rep", pa.int64()), ("others", pa.list_(pa.list_(pa.int64())))])
-_SET = pa.schema([("rep", pa.int64()), ("tokens", pa.binary())])
-_LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
+_PREFIXES = pa.schema(
+    [("owner", pa.int64()), ("n", pa.int64()), ("c", pa.float64()), ("token", pa.list_(pa.int64())), ("pos", pa.list_(pa.int64())), ("others", pa.list_(pa.list_(pa.int64()))), ("held", pa.list_(pa.int64()))]
+)
 
-def ends(pairs: DataFrame) -> DataFrame:
-    """Settled (rep) of the texts in pairs."""
-    return settle(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct(), "ends")
 
-
-def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc_id, text) of the documents wanted; few ids are broadcast, so that the texts need no shuffle."""
-    ids = wanted.select(F.col("rep").alias("doc_id"))
-    if wanted.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    return docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
+def shared_prefixes(n: int, token: np.ndarray, m: np.ndarray, percent: int) -> list[np.ndarray]:
+    """Indices of the shared tokens in the prefix of a set of n under each order; m: sets that hold each. The others of the n
+    stand before them in every order."""
+    p = max(0, prefix_length(n, percent) - (n - len(token)))
+    level, out = np.log2(m).astype(np.int64), []
+    for k in range(ORDERS):
+        tie = mix(token ^ np.uint64(0x51ED270B0A1F39D1 * (k + 1) % (1 << 64)))
+        out.append(np.lexsort((tie, level if k else m))[:p])
+    return out
 
 
-def other_prefixes(docs: DataFrame, wanted: DataFrame, level: Broadcast, n: int, percent: int) -> DataFrame:
-    """(rep, others: prefixes under the second order and on)."""
+def prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """Settled (owner, n, c: how much others share of the prefix, token and pos: shared tokens of the first order's prefix and their
+    places in that order, others: those of the other orders, held: all shared tokens, sorted) of the sets that can have partners."""
+    each = sets.select("owner", "n", F.explode("tokens").alias("token"))
+    common = settle(each.groupBy("token").agg(F.count("*").alias("m")).where("m > 1"), "common")
+    held = each.join(common, "token").groupBy("owner", "n").agg(F.collect_list(F.struct("token", "m")).alias("x"))
 
     def run(batches):
         for b in batches:
-            sets = shingle_sets(*utf8(b.column(1)), n)
-            yield batch(_OTHERS, b.column(0).cast(pa.int64()), [[prefixes(g, level.value, percent, k).view(np.int64) for k in range(1, ORDERS)] if len(g) else [] for g in sets])
-
-    return arrow_map(texts_of(docs, wanted), run, "rep long, others array<array<long>>")
-
+            out = [[] for _ in _PREFIXES]
+            for owner, n, token, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
+                token, m = token.values.to_numpy().view(np.uint64), m.values.to_numpy()
+                first, *others = shared_prefixes(n, token, m, percent)
+                if not len(first):
+                    continue
+                alone = n - len(token)
+                row = (owner, n, float(np.log2(m[first]).sum() / n), token[first].view(np.int64), alone + np.arange(len(first)), [token[o].view(np.int64) for o in others], np.sort(token.view(np.int64)))
+                for x, v in zip(out, row):
+                    x.append(v)
+            yield batch(_PREFIXES, *out)
+
+    ddl = "owner long, n long, c double, token array<long>, pos array<long>, others array<array<long>>, held array<long>"
+    made = settle(arrow_map(held.select("owner", "n", "x.token", "x.m"), run, ddl), "prefixes")
+    discard(common)
+    return made
 
-def whole_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(rep, tokens: sorted hashes)."""
 
-    def run(batches):
-        for b in batches:
-            yield batch(_SET, b.column(0).cast(pa.int64()), [g.tobytes() for g in shingle_sets(*utf8(b.column(1)), n)])
-
-    return arrow_map(texts_of(docs, wanted), run, "rep long, tokens binary")
+_LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
     """Common elements of two sorted sets."""
     if len(a) > len(b):
         a, b = b, a
+    if not len(a):
+        return 0
     at = np.searchsorted(b, a)
     at[at == len(b)] = len(b) - 1
     return int((b[at] == a).sum())
 
 
-def verify(docs: DataFrame, pairs: DataFrame, level: Broadcast, n: int, percent: int) -> DataFrame:
+def verify(pairs: DataFrame, made: DataFrame, percent: int) -> DataFrame:
     """Settled (a, b) of the pairs whose sets are similar; pairs must share prefix tokens under every other order first."""
     pairs = settle(pairs, "pairs")
-    wanted = ends(pairs)
-    lists = settle(other_prefixes(docs, wanted, level, n, percent), "others")
-    left, right = (lists.select(F.col("rep").alias(x), F.col("others").alias("o" + x)) for x in "ab")
-    shared = pairs.join(left, "a").join(right, "b")
-    for k in range(ORDERS - 1):
-        shared = shared.where(F.arrays_overlap(F.col("oa")[k], F.col("ob")[k]))
-    candidates = settle(shared.select("a", "b"), "candidates")
-    for done in (lists, wanted, pairs):
-        discard(done)
-    wanted = ends(candidates)
-    sets = settle(whole_sets(docs, wanted, n), "sets")
 
     def run(batches):
         for b in batches:
+            na, nb, oa, ob, ha, hb = (b.column(k) for k in range(2, 8))
             keep = []
-            for k, (x, y) in enumerate(zip(b.column(2), b.column(3))):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = overlap(x, y)
-                if 100 * both >= percent * (len(x) + len(y) - both):
+            for k, (x, y) in enumerate(zip(na.to_pylist(), nb.to_pylist())):
+                left, right = oa[k].values, ob[k].values
+                if not all(len(np.intersect1d(left[i].values.to_numpy(), right[i].values.to_numpy(), assume_unique=True)) for i in range(ORDERS - 1)):
+                    continue
+                both = overlap(ha[k].values.to_numpy(), hb[k].values.to_numpy())
+                if 100 * both >= percent * (x + y - both):
                     keep.append(k)
             at = pa.array(keep, pa.int64())
             yield batch(_LINK, b.column(0).take(at), b.column(1).take(at))
 
-    joined = candidates.join(sets.select(F.col("rep").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("tokens").alias("y")), "b")
-    links = settle(arrow_map(joined.select("a", "b", "x", "y"), run, "a long, b long").distinct(), "links")
-    for done in (sets, candidates, wanted):
-        discard(done)
-    return links
-
-
-def join_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, text) -> (doc_id, n_shingles, class_id, component_id): class_id is the smallest doc_id of an equal set,
-    component_id the smallest reachable by links of at least percent hundredths of Jaccard similarity."""
-    level = docs.sparkSession.sparkContext.broadcast(common_levels(docs, words))
-    made = settle(summaries(docs, level, words, percent), "summaries")
-    classes = made.where("name is not null").groupBy("name").agg(F.min("doc_id").alias("rep"))
-    classes = settle(classes.where("rep is not null"), "classes")
-    mine = made.join(classes.select("name", F.col("rep").alias("doc_id")), ["name", "doc_id"], "left_semi")
-    first = mine.select(F.col("doc_id").alias("rep"), "n", F.explode("first").alias("token"))
-    counted = first.groupBy("token").agg(F.count("*").alias("m")).where("m > 1")
-    rows = settle(first.join(counted, "token"), "shared")
-    # how much of a text's prefix others share: the most shared is the likely origin of its copies
-    central = rows.groupBy("rep").agg((F.sum(F.log2("m")) / F.first("n")).alias("c"))
-    rows = rows.join(central, "rep").select("token", "rep", "n", "c", F.col("rep").alias("component"))
-    links = None
-    fits = F.expr(f"100 * least(n, n_hub) >= {percent} * greatest(n, n_hub)")
-    for k in count():
-        rows = settle(rows, "rows")
-        hubs = rows.groupBy("token").agg(F.max(F.struct("c", (-F.col("rep")).alias("k"), "n", "component")).alias("hub"), F.min("component").alias("low"), F.max("component").alias("high"))
-        hubs = settle(hubs.where("low < high").select("token", (-F.col("hub.k")).alias("hub"), F.col("hub.n").alias("n_hub"), F.col("hub.component").alias("c_hub")), "hubs")
+    for x in "ab":
+        pairs = pairs.join(made.select(F.col("owner").alias(x), F.col("n").alias("n" + x), F.col("others").alias("o" + x), F.col("held").alias("h" + x)), x)
+    return settle(arrow_map(pairs.select("a", "b", "na", "nb", "oa", "ob", "ha", "hb"), run, "a long, b long"), "links")
+
+
+def across(rows: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) across components that share a prefix token, fit in size, and whose token stands early enough in both.
+
+    With r tokens from the shared one on, the other set of a similar pair has at most r (100 + percent) / percent - n. The greater set
+    looks for the lesser by size band; a lesser set whose own size is over that bound is in no pair by this token.
+    """
+    live = rows.join(hubs.select("token", "c_hub"), "token").withColumn("room", F.expr(f"(n - pos) * {100 + percent} div {percent} - n")).withColumn("main", F.col("component") == F.col("c_hub"))
+    band = lambda c: F.floor(F.log2(c) * BANDS).cast("int")
+    low = F.expr(f"({percent} * n + 99) div 100")
+    great = live.withColumn("low", low).withColumn("high", F.least("n", "room")).where("low <= high")
+    great = great.select("token", F.explode(F.sequence(band(F.col("low")), band(F.col("high")))).alias("band"), F.col("owner").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("component").alias("ca"), "main")
+    less = live.where("room >= n").select("token", band(F.col("n")).alias("band"), F.col("owner").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("component").alias("cb"), "main")
+    fits = f"ca <> cb and (nb < na or (nb = na and b < a)) and least(na - pa, nb - pb) * {100 + percent} >= {percent} * (na + nb)"
+    found = [x.drop("main").join(y.drop("main"), ["token", "band"]).where(fits).select("a", "b") for x, y in ((great.where("not main"), less), (great.where("main"), less.where("not main")))]
+    return found[0].unionByName(found[1]).distinct()
+
+
+def find_components(made: DataFrame, percent: int) -> DataFrame | None:
+    """prefixes -> (node: owner, component) of the sets that link, or None."""
+    rows = made.select("owner", "n", "c", F.explode(F.arrays_zip("token", "pos")).alias("x"), F.col("owner").alias("component"))
+    rows = rows.select("x.token", "x.pos", "owner", "n", "c", "component")
+    links = named = None
+    for k in range(HUB_ROUNDS + 1):
+        hubs = rows.groupBy("token").agg(F.max(F.struct("c", "owner", "n", "component")).alias("hub"), F.min("component").alias("low"), F.max("component").alias("high"))
+        hubs = settle(hubs.where("low < high").select("token", F.col("hub.owner").alias("hub"), F.col("hub.n").alias("n_hub"), F.col("hub.component").alias("c_hub")), "hubs")
+        if not hubs.head(1):
+            return named
         live = rows.join(hubs, "token")
-        by_component = live.groupBy("token", "component").agg(F.count("*").cast("double").alias("m"))
-        by_token = by_component.groupBy("token").agg(((F.sum("m") ** 2 - F.sum(F.col("m") ** 2)) / 2).alias("pairs"))
-        todo = by_token.agg(F.sum("pairs")).first()[0] or 0
-        if not todo:
+        if k == HUB_ROUNDS:
             break
-        if links is not None and (todo <= MOST_PAIRS or k >= HUB_ROUNDS):
-            # the rest: every pair across components that shares a token
-            a, b = (live.select("token", F.col("rep").alias(x), F.col("n").alias("n" + y), F.col("component").alias("c" + x)) for x, y in (("a", ""), ("b", "_hub")))
-            pairs = a.join(b, "token").where("a < b and ca <> cb").where(fits).select("a", "b").distinct()
-            links = links.unionByName(verify(docs, pairs, level, words, percent))
-            named = connected_components(links)
+        near = live.where("component <> c_hub").where(f"100 * least(n, n_hub) >= {percent} * greatest(n, n_hub)")
+        new = verify(near.select(F.least("owner", "hub").alias("a"), F.greatest("owner", "hub").alias("b")).distinct(), made, percent)
+        if not new.head(1):
             break
-        pairs = live.where("component <> c_hub").where(fits).select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-        new = verify(docs, pairs, level, words, percent)
         links = new if links is None else links.unionByName(new)
         named = settle(connected_components(links), "components")
         # a hub is done with its group: it has met every other text there
-        rows = live.where("rep <> hub").drop("component").join(named.select(F.col("node").alias("rep"), "component"), "rep", "left")
-        rows = rows.select("token", "rep", "n", "c", F.coalesce("component", "rep").alias("component"))
-    if links is None:
-        reps = classes.select("name", "rep", F.col("rep").alias("component"))
+        rows = live.where("owner <> hub").select("token", "pos", "owner", "n", "c").join(named.select(F.col("node").alias("owner"), "component"), "owner", "left")
+        rows = settle(rows.select("token", "pos", "owner", "n", "c", F.coalesce("component", "owner").alias("component")), "rows")
+    new = verify(across(rows, hubs, percent), made, percent)
+    if not new.head(1):
+        return named
+    return settle(connected_components(new if links is None else links.unionByName(new)), "components")
+
+
+def join_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, text) -> (doc_id, n_shingles, class_id, component_id): class_id is the smallest doc_id of an equal set,
+    component_id the smallest reachable by links of at least percent hundredths of Jaccard similarity."""
+    made = settle(summaries(docs, words), "summaries")
+    classes = made.where("name is not null").groupBy("name").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("owner").alias("owner"))
+    classes = settle(classes, "classes")
+    sets = sets_left(docs, made, classes, words, percent)
+    ready = prefixes(sets, percent)
+    discard(sets)
+    named = find_components(ready, percent)
+    reps = classes.select("name", "rep", "owner")
+    if named is None:
+        reps = reps.select("name", "rep", F.col("rep").alias("component_id"))
     else:
-        reps = classes.join(named.withColumnRenamed("node", "rep"), "rep", "left").select("name", "rep", F.coalesce("component", "rep").alias("component"))
+        known = reps.join(named.withColumnRenamed("node", "owner"), "owner").select("owner", "rep", "component")
+        least = settle(known.groupBy("component").agg(F.min("rep").alias("component_id")), "least")
+        known = settle(known.join(least, "component").select("owner", "component_id"), "known")
+        reps = reps.join(known, "owner", "left").select("name", "rep", F.coalesce("component_id", "rep").alias("component_id"))
     got = made.select("doc_id", "n", "name").join(reps, "name", "left")
-    return got.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("class_id"), F.coalesce("component", "doc_id").alias("component_id"))
+    return got.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -1,6 +1,8 @@
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from heronq.llm import jaccard, queries
@@ -59,12 +61,11 @@ def copies(seed, groups=12):
     return out
 
 
-@pytest.mark.parametrize("n, percent, most", [(4, 85, None), (5, 80, 0), (1, 60, None)])
-def test_against_brute_force(spark, monkeypatch, n, percent, most):
-    if most is not None:
-        monkeypatch.setattr(jaccard, "MOST_PAIRS", most)
-        monkeypatch.setattr(jaccard, "HUB_ROUNDS", 2)
-    monkeypatch.setattr(jaccard, "COMMON", 3)
+@pytest.mark.parametrize("n, percent, rounds", [(4, 85, None), (5, 80, 1), (4, 85, 0), (1, 60, None), (1, 60, 0)])
+def test_against_brute_force(spark, monkeypatch, n, percent, rounds):
+    if rounds is not None:
+        monkeypatch.setattr(jaccard, "HUB_ROUNDS", rounds)
+    monkeypatch.setattr(jaccard, "CHUNK_TOKENS", 2000)
     texts = ODD_TEXTS + copies(n)
     docs = odd_documents(spark, texts)
     assert rows(jaccard.join_components(docs, n, percent)) == brute({i * 3: t for i, t in enumerate(texts)}, n, percent)
@@ -82,18 +83,53 @@ def test_op1_query(spark, sf_dir):
     assert rows(queries.op1_jaccard_join(spark, sf_dir)) == brute(texts, 4, 85)
 
 
+def test_null_ids_take_part(spark):
+    """A set that only rows without id have links two documents; alone it is named by no id."""
+    base = [f"w{i}" for i in range(40)]
+    edit = lambda *at: " ".join("x" + w if i in at else w for i, w in enumerate(base))
+    rows = [(1, edit()), (None, edit(0)), (2, edit(0, 39)), (None, "p q r s t u v"), (None, "p q r s t u v"), (9, "other words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard.join_components(docs, 2, 92).collect()
+    assert sorted(((r.doc_id, r.component_id) for r in got), key=str) == sorted([(1, 1), (None, 1), (2, 1), (None, None), (None, None), (9, 9)], key=str)
+
+
 @pytest.mark.parametrize("percent", [50, 80, 85, 100])
 def test_similar_sets_share_prefix_tokens_under_every_order(percent):
     rng = np.random.default_rng(percent)
-    level = np.zeros(1 << jaccard.SLOT_BITS, np.uint8)
     for _ in range(200):
         n = int(rng.integers(1, 60))
         both = rng.integers(0, 2**63, n, dtype=np.uint64)
-        level[jaccard.slots(both[: n // 3])] = 5
         only = rng.integers(0, 2**63, n, dtype=np.uint64)
         room = n * (100 - percent) // percent  # symmetric difference that similarity allows
         k = int(rng.integers(0, room + 1)) if room else 0
         a, b = np.unique(np.concatenate([both, only[:k]])), np.unique(np.concatenate([both, only[k:room]]))
         assert 100 * jaccard.overlap(a, b) >= percent * len(np.union1d(a, b))
-        for order in range(jaccard.ORDERS):
-            assert np.intersect1d(jaccard.prefixes(a, level, percent, order), jaccard.prefixes(b, level, percent, order)).size
+        # how many sets hold each token: one where it is in only one of the two and in no third
+        held = {t: int(rng.integers(2, 50)) for t in both.tolist()} | {t: int(rng.integers(1, 50)) for t in only.tolist()}
+        found = []
+        for s in (a, b):
+            m = np.array([held[t] for t in s.tolist()])
+            some = s[m > 1]
+            found.append([some[o] for o in jaccard.shared_prefixes(len(s), some, m[m > 1], percent)])
+        for x, y in zip(*found):
+            assert np.intersect1d(x, y).size
+
+
+@pytest.mark.parametrize("buckets", [1, 5])
+def test_held_counts(buckets):
+    """Each set's tokens that another set holds, whatever the chunks; copies of a set in other chunks count as the same set."""
+    rng = np.random.default_rng(buckets)
+    sets = [np.unique(rng.integers(0, 60, 12).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for _ in range(12)]
+    numbers = [5, -7, 2**62, *range(100, 109)]
+    chunks = [[0, 1, 2, 3], [4, 5, 6], [7, 8, 0], [9, 10, 11]]
+    rows = pa.Table.from_batches([jaccard.chunk_postings([sets[i] for i in c], [numbers[i] for i in c], buckets) for c in chunks])
+    got = {}
+    for k in range(buckets):
+        for r in jaccard.held_counts(rows.filter(pc.equal(rows["bucket"], k))).to_pylist():
+            got[r["owner"]] = got.get(r["owner"], 0) + r["c"]
+    for i, s in enumerate(sets):
+        held = sum(any(t in sets[j] for j in range(12) if j != i) for t in s)
+        if i:
+            assert got.get(numbers[i], 0) == held
+        else:  # it stands in two chunks: what it shares in both counts twice, never less
+            assert got.get(numbers[i], 0) >= held
