@@ -17,10 +17,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows in an Arrow batch handed to Python: bounds a worker's memory when texts are long.
-BATCH_ROWS = 256
+#: Rows in an Arrow batch handed to Python, and bytes of those worked on together (a longer row is alone): they bound a
+#: worker's memory when texts are long.
+BATCH_ROWS, BATCH_BYTES = 256, 4 << 20
 #: Bytes hashed at once.
-HASH_BYTES = 1 << 21
+HASH_BYTES = 1 << 18
 
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -74,9 +75,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded(batches: Iterator[pa.RecordBatch], most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most so many bytes, or of one row."""
+    for b in batches:
+        todo = [b]
+        while todo:
+            part = todo.pop()
+            if part.nbytes <= most or part.num_rows < 2:
+                yield part
+            else:
+                half = part.num_rows // 2
+                todo += [part.slice(half), part.slice(0, half)]
+
+
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     small_batches(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    return df.mapInArrow(lambda batches: fn(bounded(batches)), schema)
 
 
 def filter_rows(df: DataFrame, column: str, make: Callable[[], Callable[[pa.Array], np.ndarray]]) -> DataFrame:
@@ -84,7 +98,7 @@ def filter_rows(df: DataFrame, column: str, make: Callable[[], Callable[[pa.Arra
 
     def run(batches):
         keep = make()
-        for b in batches:
+        for b in bounded(batches):
             yield b.filter(pa.array(keep(b.column(at))))
 
     at = df.columns.index(column)
@@ -131,6 +145,15 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def lower_bytes(data: np.ndarray) -> np.ndarray:
+    """ASCII and Latin-1 capitals in lower case, in UTF-8."""
+    low = LOWER[data]
+    if len(low) > 1:
+        after = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)) + 1
+        low[after] += 0x20
+    return low
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64 bits that spreads every input bit."""
     h = h ^ (h >> np.uint64(30))

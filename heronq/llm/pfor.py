@@ -5,10 +5,10 @@ count of exceptions (u16), the width (u8), the values less the minimum packed at
 for each exception its place (u8) and the bits above the width (u32). The width is the least that
 holds a percentile of the block's values; the rest are exceptions. Packing is vertical: value i of
 a block stands at bit i * width of its 64-bit words. The footer holds the byte at which every
-block starts, the documents (id, count of tokens) and the count of values, so a range of values is
-read by seeking to its blocks. A short last block is padded with its own minimum.
+block starts, the documents (id, count of tokens, a bit for those without id) and the count of values, so a range of
+values is read by seeking to its blocks. A short last block is padded with its own minimum.
 
-Nulls and empty texts are documents of the end id alone; an empty table makes no file or one
+Documents may have no id (null); nulls and empty texts are documents of the end id alone; an empty table makes no file or one
 without blocks. Ids must fit 32 bits unsigned.
 """
 
@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-MAGIC = b"HQPFOR1\n"
+MAGIC = b"HQPFOR2\n"
 BLOCK = 128
 #: Share of a block's values that its width must hold.
 PERCENTILE = 0.9
@@ -125,7 +125,7 @@ class Writer:
         self.starts, self.ids, self.lengths, self.held, self.n_held, self.total = [], [], [], [], 0, 0
         stream.write(MAGIC)
 
-    def add(self, doc_id: int, ids: np.ndarray) -> None:
+    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         self.ids.append(doc_id)
         self.lengths.append(len(ids))
         self.held.append(ids)
@@ -149,7 +149,7 @@ class Writer:
     def close(self) -> int:
         self._flush(True)
         starts = np.concatenate(self.starts) if self.starts else np.zeros(0, np.int64)
-        self.stream.write(starts.astype("<u8").tobytes() + np.asarray(self.ids, "<i8").tobytes() + np.asarray(self.lengths, "<u8").tobytes())
+        self.stream.write(starts.astype("<u8").tobytes() + np.asarray([d or 0 for d in self.ids], "<i8").tobytes() + np.asarray(self.lengths, "<u8").tobytes() + np.packbits([d is None for d in self.ids]).tobytes())
         self.stream.write(struct.pack("<QQQQ", self.at, len(starts), len(self.ids), self.total) + MAGIC)
         return self.at
 
@@ -171,6 +171,7 @@ class Reader:
         self.starts = np.frombuffer(stream.read(8 * n), "<u8").astype(np.int64)
         self.doc_ids = np.frombuffer(stream.read(8 * docs), "<i8")
         self.lengths = np.frombuffer(stream.read(8 * docs), "<u8").astype(np.int64)
+        self.nameless = np.unpackbits(np.frombuffer(stream.read(-(-docs // 8)), np.uint8), count=docs).astype(bool)
 
     def values(self, a: int, b: int) -> np.ndarray:
         """ids a to b - 1 of the file."""
@@ -183,7 +184,10 @@ class Reader:
         got = decode_blocks(self.stream.read(stop - start), self.starts[first : last + 1] - start)
         return got[a - first * BLOCK : b - first * BLOCK]
 
-    def documents(self, chunk: int = Writer.CHUNK) -> Iterator[tuple[int, int, int, int]]:
+    def doc_id(self, k: int) -> int | None:
+        return None if self.nameless[k] else int(self.doc_ids[k])
+
+    def documents(self, chunk: int = Writer.CHUNK) -> Iterator[tuple[int | None, int, int, int]]:
         """(doc_id, ids before it in the file, count, crc32 of its ids), holding about chunk values."""
         ends = np.cumsum(self.lengths)
         i, n = 0, len(ends)
@@ -195,10 +199,10 @@ class Reader:
                 crc = 0
                 for k in range(a, b, chunk):
                     crc = zlib.crc32(self.values(k, min(k + chunk, b)).astype("<u4"), crc)
-                yield int(self.doc_ids[i]), a, b - a, crc
+                yield self.doc_id(i), a, b - a, crc
             else:
                 raw = self.values(a, b).astype("<u4")
                 for d in range(i, j):
                     s, e = int(ends[d] - self.lengths[d]) - a, int(ends[d]) - a
-                    yield int(self.doc_ids[d]), s + a, e - s, zlib.crc32(raw[s:e])
+                    yield self.doc_id(d), s + a, e - s, zlib.crc32(raw[s:e])
             i = j

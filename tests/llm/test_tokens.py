@@ -129,3 +129,16 @@ def test_op2_query(spark, sf_dir):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in queries.op2_token_files(spark, sf_dir).collect()}
     assert got == expected_starts(texts)
+
+
+def test_token_files_with_null_and_equal_ids(spark):
+    """Null ids come first, rows of one id stand together, and all starts are gapless however the rows are dealt to shards."""
+    library = Tokenizer.from_file(FILE)
+    rows = [(None, f"no id {i} " * (i % 5)) for i in range(30)] + [(7, f"seven {i} " * (i % 4)) for i in range(30)] + [(i, f"text {i}") for i in range(20, 30)]
+    docs = spark.createDataFrame(rows[::-1], "doc_id long, text string")
+    for shard_rows in (3, 1000):
+        got = token_files.read_files(token_files.encode_to_files(docs, FILE, shard_rows=shard_rows)).orderBy("start").collect()
+        assert [r.doc_id for r in got] == [None] * 30 + [7] * 30 + [*range(20, 30)]
+        want = sorted((str(d), zlib.crc32(np.asarray(library.encode(t, add_special_tokens=False).ids + [0], "<u4").tobytes())) for d, t in rows)
+        assert sorted((str(r.doc_id), r.ids_crc32) for r in got) == want
+        assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got)])[:-1].tolist()
