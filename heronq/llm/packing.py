@@ -13,7 +13,7 @@ totals of up to MAX_QUEUES queues go to the driver and the tasks; of more, the s
 sorted by round and queue, whose running sums are the same places.
 
 Defined results: null and empty texts are the end id alone; null sources are the queue "";
-repeated rows are packed again; other columns are ignored; an empty table gives no pieces. Only the
+null doc_ids are carried along; repeated rows are packed again; a very long text is encoded alone and cut like others; other columns are ignored; an empty table gives no pieces. Only the
 last window can be short.
 """
 
@@ -27,12 +27,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from heronq.llm.common import arrow_map, batch, settle, strings
+from heronq.llm.common import arrow_map, batch, settle
 from heronq.llm.wordcache import library_encoder
 
 WINDOW = 2048
-#: Tokens that a queue sends at once; divides the window.
-SLOT = 256
+#: Tokens that a queue sends at once; divides the window. A window departs from the target mixture by a few of these at most.
+SLOT = 32
 #: Queues whose totals are held in memory at most; slots of more are placed by a table.
 MAX_QUEUES = 64
 #: Credits are counted in parts of a token, so many that a source of few tokens keeps its share.
@@ -140,15 +140,16 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     def run(batches):
         encode, at, part = library_encoder(tokenizer), {}, TaskContext.get().partitionId()
         kind = "<u2" if max(len(encode.ends) - 1, end_id) < 1 << 16 else "<u4"
-        tail = np.asarray([end_id], kind).tobytes()
         for b in batches:
-            raw = [np.frombuffer(x, "<u4").astype(kind).tobytes() + tail for x in encode(strings(b.column(1)))]
-            sizes = [len(x) // int(kind[2]) for x in raw]
+            tokens, ends = encode.encode(b.column(1))
+            tokens, ends = np.insert(tokens, ends[1:], end_id).astype(kind), ends + np.arange(len(ends))
+            sizes = np.diff(ends).tolist()
+            raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends * tokens.itemsize), pa.py_buffer(tokens)]).cast(pa.binary())
             queues, starts = b.column(2).to_pylist(), []
             for q, n in zip(queues, sizes):
                 starts.append(at.get(q, 0))
                 at[q] = starts[-1] + n
-            yield batch(_TOKENS, b.column(0).cast(pa.int64()), queues, [part] * len(raw), starts, sizes, raw)
+            yield batch(_TOKENS, b.column(0).cast(pa.int64()), queues, [part] * len(sizes), starts, sizes, raw)
 
     return settle(arrow_map(_queues(docs), run, "doc_id long, queue string, part long, local_start long, n long, ids binary"), "tokens")
 
@@ -156,13 +157,14 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, targets: dict[str, float] | None = None, window: int = WINDOW, slot: int = SLOT, max_queues: int = MAX_QUEUES) -> DataFrame:
     """(doc_id, text, source) -> pieces (doc_id, queue, start, length, ids u32 binary, doc_tokens, sequence_id, offset).
 
-    targets: share of each source in a window, by default its share of all tokens; sources not named
-    keep their share.
+    targets: share of each source in a window; sources not named have what the named leave, in proportion to their
+    tokens (without targets their share of all tokens). Where the named leave nothing, the others come when those are empty.
     """
     tokens = tokenise(docs, tokenizer, end_id)
     parts = tokens.groupBy("queue", "part").agg(F.sum("n").alias("n_part"))
     earlier = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = parts.select("queue", "part", F.coalesce(F.sum("n_part").over(earlier), F.lit(0)).alias("base"))
+    # written out, so that the engine knows its size: it is broadcast only if it is small, and then the tokens stay where they are
+    bases = settle(parts.select("queue", "part", F.coalesce(F.sum("n_part").over(earlier), F.lit(0)).alias("base")), "bases")
     placed = tokens.join(bases, ["queue", "part"]).select("doc_id", "queue", (F.col("local_start") + F.col("base")).alias("at"), "n", "ids")
     totals = parts.groupBy("queue").agg(F.sum("n_part").alias("n"))
     few = totals.limit(max_queues + 1).collect()
@@ -170,12 +172,10 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, targets: dict[str, fl
         return _placed_by_table(placed, settle(totals, "totals"), targets or {}, window, slot)
     few = sorted((r.queue, r.n) for r in few)
     names, sizes = [q for q, _ in few], [n for _, n in few]
-    every = sum(sizes)
-    shares = [(targets or {}).get(q, n / every) for q, n in few]
-    whole = _whole(dict(few), every, targets or {})
+    shares = _shares(dict(few), targets or {})
 
     def run(batches):
-        schedule, number = Schedule(sizes, shares, window, slot, whole), {q: i for i, q in enumerate(names)}
+        schedule, number = Schedule(sizes, [shares(q, n) for q, n in few], window, slot, shares.whole), {q: i for i, q in enumerate(names)}
         for b in batches:
             queue = np.asarray([number[q] for q in b.column(1).to_pylist()], np.int64)
             yield _pieces(b, *schedule.pieces(queue, *(b.column(k).to_numpy(zero_copy_only=False) for k in (2, 3))), window)
@@ -183,10 +183,21 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, targets: dict[str, fl
     return arrow_map(placed, run, _PIECES_DDL)
 
 
-def _whole(named: dict[str, int], every: int, targets: dict[str, float]) -> float:
-    """The sum of all shares, from the totals of the sources with a target (of others they may be there) and of all."""
-    with_target = {q: n for q, n in named.items() if q in targets}
-    return math.fsum([*(targets[q] for q in with_target), (every - sum(with_target.values())) / every if every else 0.0])
+class _shares:
+    """Shares of a window: a target where there is one; the other sources have what targets leave, in proportion to their tokens.
+
+    named: totals of the sources, of those with a target at least; every: tokens of all sources.
+    """
+
+    def __init__(self, named: dict[str, int], targets: dict[str, float], every: int | None = None):
+        self.given = {q: float(targets[q]) for q in named if q in targets}
+        self.others = (sum(named.values()) if every is None else every) - sum(named[q] for q in self.given)
+        total = math.fsum(self.given.values())
+        self.rest = max(0.0, 1.0 - total) if self.others else 0.0
+        self.whole = (total + self.rest) or 1.0
+
+    def __call__(self, queue: str, n: int) -> float:
+        return self.given[queue] if queue in self.given else n / self.others * self.rest if self.others else 0.0
 
 
 def _pieces(b: pa.RecordBatch, doc: np.ndarray, a: np.ndarray, size: np.ndarray, at: np.ndarray, window: int) -> pa.RecordBatch:
@@ -203,11 +214,12 @@ def slot_places(totals: DataFrame, targets: dict[str, float], window: int, slot:
     """totals (queue, n) -> settled (queue, slot, place) of every slot: Schedule.place as a table, for any number of queues."""
     every = totals.agg(F.sum("n")).head()[0]
     named = {r.queue: r.n for r in totals.where(F.col("queue").isin(*targets)).collect()} if targets else {}
-    share = F.col("n").cast("double") / F.lit(float(every))
+    shares = _shares(named, targets, every)
+    share = F.col("n") / F.lit(float(shares.others or 1)) * F.lit(shares.rest)
     if named:
-        given = F.create_map(*[F.lit(x) for q in named for x in (q, float(targets[q]))])
+        given = F.create_map(*[F.lit(x) for q in named for x in (q, shares.given[q])])
         share = F.coalesce(F.try_element_at(given, F.col("queue")), share)
-    credit = F.rint(share / F.lit(_whole(named, every, targets) or 1.0) * F.lit(window) * F.lit(SCALE)).cast("long")
+    credit = F.rint(share / F.lit(shares.whole) * F.lit(window) * F.lit(SCALE)).cast("long")
     cost = slot * SCALE
     rows = totals.select("queue", "n", F.greatest(F.lit(1), credit).alias("credit"), F.ceil(F.col("n") / slot).alias("slots"))
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.expr(f"(slots - 1) div {SLOTS_AT_ONCE}"))).alias("block")).repartition("queue", "block")

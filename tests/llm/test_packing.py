@@ -91,3 +91,34 @@ def test_seventy_sources_by_name(spark):
     assert {r.queue for r in got} == {f"source {i}" for i in range(70)}
     last = max(r.sequence_id for r in got if r.queue == "source 5")
     assert last < max(r.sequence_id for r in got) / 10  # half of each window until it is empty
+
+
+@pytest.mark.parametrize("targets, max_queues", [(None, 64), ({"a": 0.5, "c": 0.125}, 64), ({"a": 0.5, "c": 0.125}, 1)])
+def test_every_window_has_the_target_mixture(spark, targets, max_queues):
+    """Until a source is empty, each window holds its share to a few slots, and all windows before it to one window's worth of slots."""
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(i % 50)), "abcd"[i % 4]) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = packing.pack(docs, FILE, targets=targets, max_queues=max_queues).collect()
+    total = {q: sum(r.length for r in got if r.queue == q) for q in "abcd"}
+    named = targets or {}
+    rest = 1 - sum(named.values())
+    others = sum(n for q, n in total.items() if q not in named)
+    share = {q: named.get(q, total[q] / others * rest) for q in total}
+    last = min(max(r.sequence_id for r in got if r.queue == q) for q in "abcd")
+    assert last >= 3
+    for k in range(last):
+        for q in "abcd":
+            mine = sum(r.length for r in got if r.queue == q and r.sequence_id == k)
+            assert abs(mine - share[q] * packing.WINDOW) <= 3 * packing.SLOT
+
+
+def test_targets_that_leave_nothing(spark):
+    docs = spark.createDataFrame([(i, "some words " * 40, "ab"[i % 2]) for i in range(40)], "doc_id long, text string, source string")
+    got = packing.pack(docs, FILE, targets={"a": 1.0}, window=64, slot=16).collect()
+    place = lambda r: (r.sequence_id, r.offset)
+    assert max(place(r) for r in got if r.queue == "a") < min(place(r) for r in got if r.queue == "b")
+
+
+def test_null_ids(spark):
+    docs = spark.createDataFrame([(None, "a b", "s"), (None, "c", "s"), (3, None, None)], "doc_id long, text string, source string")
+    assert sorted((str(r.doc_id), r.doc_tokens) for r in packing.pack(docs, FILE).collect()) == [("3", 1), ("None", 2), ("None", 3)]
