@@ -5,9 +5,7 @@ Texts with equal sets are folded into one class first, named by 128 bits of the
 the join goes through these filters, each exact in that no similar pair is lost:
 
 1. Held tokens. Only tokens that another set holds too can be shared, so a set of which less than
-   t |s| tokens are held elsewhere has no partner. Tokens are counted over all sets: chunks of texts send
-   each token once to the task of its hash bucket, tokens of several sets of a chunk without their owners, so
-   that a token of a third of all texts is one row a chunk.
+   t |s| tokens are held elsewhere has no partner. Tokens are counted over all sets (see held).
 2. Prefixes under ORDERS global orders of the tokens of the sets left. Two similar sets share a token
    within their first |s| - ceil(t |s|) + 1 tokens under any order, hence under each of several. Every order
    puts rare tokens first: the first by their exact count, the others by its logarithm with ties broken
@@ -38,13 +36,8 @@ from pyspark.sql import functions as F
 
 from heronq.llm.common import LOWER, arrow_map, batch, discard, mix, ngram_hashes, settle, utf8, word_hashes, word_spans
 from heronq.llm.components import connected_components
+from heronq.llm.held import buckets_for, held_counts
 
-#: Tokens of a chunk of texts counted together, and of a hash bucket on average.
-CHUNK_TOKENS, BUCKET_TOKENS = 1 << 20, 1 << 21
-#: Bits of a token that are sent to its bucket; what looks equal there only passes a filter.
-SENT_BITS = 40
-#: Stands for the owners of a token that several sets of a chunk hold.
-SEVERAL = -(1 << 63)
 #: Orders; the first makes candidates, the others filter them.
 ORDERS = 3
 #: Rounds of hubs at most.
@@ -85,107 +78,19 @@ def prefix_length(n: np.ndarray | int, percent: int):
     return n - (percent * n + 99) // 100 + 1
 
 
-_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("name", pa.binary()), ("owner", pa.int64())])
+_SETS = pa.schema([("doc_id", pa.int64()), ("text_id", pa.string()), ("n", pa.int64()), ("name", pa.binary()), ("owner", pa.int64())])
 
 
 def summaries(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n: set size, name: the set's 128-bit hash, owner: half of it)."""
+    """(doc_id, text, text_id) -> (doc_id, text_id, n: set size, name: the set's 128-bit hash, owner: half of it)."""
 
     def run(batches):
         for b in batches:
             sets = shingle_sets(*utf8(b.column(1)), n)
             names = [set_name(g) for g in sets]
-            yield batch(_SETS, b.column(0).cast(pa.int64()), [len(g) for g in sets], names, [owner_of(x) for x in names])
-
-    return arrow_map(docs.select("doc_id", "text"), run, "doc_id long, n long, name binary, owner long")
-
-
-_POSTINGS = pa.schema([("bucket", pa.int32()), ("owners", pa.binary()), ("runs", pa.binary()), ("tokens", pa.binary())])
-
-
-def chunk_postings(sets: list[np.ndarray], owners: list[int], buckets: int) -> pa.RecordBatch:
-    """Rows (bucket, owners, tokens of each, tokens) of a chunk of different sets. One more row, without tokens, has for each set
-    how many of its tokens other sets of the chunk hold."""
-    token = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(sets)), [len(g) for g in sets])
-    order = np.argsort(token)
-    token, owner = token[order], owner[order]
-    head = np.concatenate([[True], token[1:] != token[:-1]])
-    runs = np.diff(np.append(np.flatnonzero(head), len(token)))
-    several = np.repeat(runs > 1, runs)
-    local = np.bincount(owner[several], minlength=len(sets))
-    once = head & several
-    token = np.concatenate([token[~several], token[once]])
-    owner = np.concatenate([owner[~several], np.full(int(once.sum()), len(sets))])
-    place = ((token >> np.uint64(SENT_BITS)) % np.uint64(buckets)).astype(np.int64) * (len(sets) + 1) + owner
-    order = np.argsort(place)
-    token, place = token[order], place[order]
-    heads = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-    runs = np.diff(np.append(heads, len(place))).astype("<u4")
-    number = np.asarray([*owners, SEVERAL], "<i8")
-    whose, bucket = number[place[heads] % (len(sets) + 1)], place[heads] // (len(sets) + 1)
-    raw = np.ascontiguousarray(token.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : SENT_BITS // 8])
-    first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-    edge, at = [*first.tolist(), len(heads)], [*heads[first].tolist(), len(token)]
-    some = np.flatnonzero(local)
-    return batch(
-        _POSTINGS,
-        [*bucket[first].tolist(), owners[0] % buckets],
-        [*(whose[a:z].tobytes() for a, z in zip(edge, edge[1:])), number[some].tobytes()],
-        [*(runs[a:z].tobytes() for a, z in zip(edge, edge[1:])), local[some].astype("<u4").tobytes()],
-        [*(raw[a:z].tobytes() for a, z in zip(at, at[1:])), b""],
-    )
-
-
-def postings(docs: DataFrame, n: int, buckets: int) -> DataFrame:
-    """chunk_postings of the texts' sets; a set that stands in several chunks has the same owner in each."""
+            yield batch(_SETS, b.column(0).cast(pa.int64()), b.column(2), [len(g) for g in sets], names, [owner_of(x) for x in names])
 
-    def run(batches):
-        held: dict[int, np.ndarray] = {}
-        total = 0
-        for b in batches:
-            for g in shingle_sets(*utf8(b.column(0)), n):
-                if len(g) and (owner := owner_of(set_name(g))) not in held:
-                    held[owner] = g
-                    total += len(g)
-                if total >= CHUNK_TOKENS:
-                    yield chunk_postings([*held.values()], [*held], buckets)
-                    held, total = {}, 0
-        if held:
-            yield chunk_postings([*held.values()], [*held], buckets)
-
-    return arrow_map(docs.select("text"), run, "bucket int, owners binary, runs binary, tokens binary")
-
-
-_HELD = pa.schema([("owner", pa.int64()), ("c", pa.int64())])
-
-
-def held_counts(table: pa.Table) -> pa.Table:
-    """The rows of a bucket -> for each owner how many of its tokens here another set holds too."""
-    owners, runs, token, known = [], [], [], []
-    for o, r, t in zip(*(table[c].to_pylist() for c in ("owners", "runs", "tokens"))):
-        o, r = np.frombuffer(o, "<i8"), np.frombuffer(r, "<u4").astype(np.int64)
-        if t:
-            owners.append(o)
-            runs.append(r)
-            token.append(np.frombuffer(t, np.uint8).reshape(-1, SENT_BITS // 8))
-        else:
-            known.append(np.stack([o, r]))
-    out = [np.concatenate(known, axis=1)] if known else []
-    if token:
-        wide = np.zeros((sum(map(len, token)), 8), np.uint8)
-        wide[:, : SENT_BITS // 8] = np.concatenate(token)
-        token = wide.view("<u8")[:, 0]
-        owner = np.repeat(np.concatenate(owners), np.concatenate(runs))
-        order = np.argsort(token)
-        token, owner = token[order], owner[order]
-        heads = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-        size = np.diff(np.append(heads, len(token)))
-        other = (owner != np.repeat(owner[heads], size)) | (owner == SEVERAL)
-        repeated = np.repeat(np.logical_or.reduceat(other, heads), size) & (owner != SEVERAL)
-        out.append(np.stack(np.unique(owner[repeated], return_counts=True)))
-    both = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
-    return pa.Table.from_arrays([pa.array(both[0], pa.int64()), pa.array(both[1], pa.int64())], schema=_HELD)
+    return arrow_map(docs.select("doc_id", "text", "text_id"), run, "doc_id long, text_id string, n long, name binary, owner long")
 
 
 _TOKENS = pa.schema([("name", pa.binary()), ("n", pa.int64()), ("tokens", pa.list_(pa.int64()))])
@@ -193,10 +98,10 @@ _TOKENS = pa.schema([("name", pa.binary()), ("n", pa.int64()), ("tokens", pa.lis
 
 def sets_left(docs: DataFrame, made: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
     """Settled (owner, n, tokens) of the classes (name, rep, n, owner) of which enough tokens are held by others."""
-    spark = docs.sparkSession
-    total = made.agg(F.sum("n")).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_TOKENS))
-    counted = postings(docs, n, buckets).groupBy("bucket").applyInArrow(held_counts, "owner long, c long").groupBy("owner").agg(F.sum("c").alias("c"))
+    def tokens_of(texts: pa.Array):
+        return ((owner_of(set_name(g)), g) for g in shingle_sets(*utf8(texts), n))
+
+    counted = held_counts(docs.select("text"), tokens_of, buckets_for(docs, made.agg(F.sum("n")).first()[0] or 0))
     left = settle(classes.join(counted, "owner").where(F.col("c") * 100 >= F.col("n") * percent).select("name", "rep", "owner"), "left")
 
     def run(batches):
@@ -336,9 +241,9 @@ def find_components(made: DataFrame, percent: int) -> DataFrame | None:
     return settle(connected_components(new if links is None else links.unionByName(new)), "components")
 
 
-def join_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, text) -> (doc_id, n_shingles, class_id, component_id): class_id is the smallest doc_id of an equal set,
-    component_id the smallest reachable by links of at least percent hundredths of Jaccard similarity."""
+def linked_classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text, text_id) -> summaries, settled, and of each set (name, rep: its smallest doc_id, root: its component, component_id: the
+    smallest doc_id there)."""
     made = settle(summaries(docs, words), "summaries")
     classes = made.where("name is not null").groupBy("name").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("owner").alias("owner"))
     classes = settle(classes, "classes")
@@ -348,11 +253,40 @@ def join_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     named = find_components(ready, percent)
     reps = classes.select("name", "rep", "owner")
     if named is None:
-        reps = reps.select("name", "rep", F.col("rep").alias("component_id"))
-    else:
-        known = reps.join(named.withColumnRenamed("node", "owner"), "owner").select("owner", "rep", "component")
-        least = settle(known.groupBy("component").agg(F.min("rep").alias("component_id")), "least")
-        known = settle(known.join(least, "component").select("owner", "component_id"), "known")
-        reps = reps.join(known, "owner", "left").select("name", "rep", F.coalesce("component_id", "rep").alias("component_id"))
-    got = made.select("doc_id", "n", "name").join(reps, "name", "left")
+        return made, reps.select("name", "rep", F.col("owner").alias("root"), F.col("rep").alias("component_id"))
+    known = reps.join(named.withColumnRenamed("node", "owner"), "owner").select("owner", "rep", "component")
+    least = settle(known.groupBy("component").agg(F.min("rep").alias("component_id")), "least")
+    known = settle(known.join(least, "component").select("owner", "component", "component_id"), "known")
+    reps = reps.join(known, "owner", "left")
+    return made, reps.select("name", "rep", F.coalesce("component", "owner").alias("root"), F.coalesce("component_id", "rep").alias("component_id"))
+
+
+def join_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, text) -> (doc_id, n_shingles, class_id, component_id): class_id is the smallest doc_id of an equal set,
+    component_id the smallest reachable by links of at least percent hundredths of Jaccard similarity."""
+    made, reps = linked_classes(docs.select("doc_id", "text", F.lit("").alias("text_id")), words, percent)
+    got = made.select("doc_id", "n", "name").join(reps.drop("root"), "name", "left")
     return got.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """One row of docs, all columns, of each component: that of smallest doc_id, null last, then of least md5 of the text. Of rows
+    that agree in both the one of least hash of all columns stays. Texts without words link with nothing, so they all stay."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    rows = docs.toDF(*names)  # so that no column can clash with those used here
+    at = {c: names[i] for i, c in enumerate(docs.columns)}
+    rows = rows.withColumn("text_id", F.md5(F.coalesce(F.col(at["text"]), F.lit("")).cast("binary"))).withColumn("id", F.col(at["doc_id"]).cast("long"))
+    made, reps = linked_classes(rows.select(F.col("id").alias("doc_id"), F.col(at["text"]).alias("text"), "text_id"), words, percent)
+    members = made.where("name is not null").join(reps.select("name", "root"), "name")
+    chosen = members.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("nameless"), "doc_id", "text_id")).alias("x")).select("x.doc_id", "x.text_id")
+    wordless = made.where("name is null").select("doc_id", "text_id").distinct()
+    keep = settle(chosen.unionByName(wordless), "keep")
+    kept = rows.join(keep, rows["id"].eqNullSafe(keep["doc_id"]) & (rows["text_id"] == keep["text_id"]), "left_semi")
+    # rows that agree in id and text, for there is one of them to stay
+    twice = made.where("name is not null").groupBy("doc_id", "text_id").agg(F.count("*").alias("m")).where("m > 1")
+    twice = settle(twice.select("doc_id", F.col("text_id").alias("same_text")), "twice")
+    if twice.head(1):
+        kept = kept.join(twice, kept["id"].eqNullSafe(twice["doc_id"]) & (kept["text_id"] == twice["same_text"]), "left")
+        first = kept.where("same_text is not null").groupBy("id", "text_id").agg(F.min_by(F.struct(*names), F.xxhash64(*names)).alias("x")).select("x.*")
+        kept = kept.where("same_text is null").select(*names).unionByName(first)
+    return kept.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])

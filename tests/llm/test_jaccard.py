@@ -1,11 +1,9 @@
 import random
 
 import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 import pytest
 
-from heronq.llm import jaccard, queries
+from heronq.llm import held, jaccard, queries
 from tests.llm.cases import ODD_TEXTS, odd_documents, python_words
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -65,7 +63,7 @@ def copies(seed, groups=12):
 def test_against_brute_force(spark, monkeypatch, n, percent, rounds):
     if rounds is not None:
         monkeypatch.setattr(jaccard, "HUB_ROUNDS", rounds)
-    monkeypatch.setattr(jaccard, "CHUNK_TOKENS", 2000)
+    monkeypatch.setattr(held, "CHUNK_TOKENS", 2000)
     texts = ODD_TEXTS + copies(n)
     docs = odd_documents(spark, texts)
     assert rows(jaccard.join_components(docs, n, percent)) == brute({i * 3: t for i, t in enumerate(texts)}, n, percent)
@@ -113,23 +111,3 @@ def test_similar_sets_share_prefix_tokens_under_every_order(percent):
             found.append([some[o] for o in jaccard.shared_prefixes(len(s), some, m[m > 1], percent)])
         for x, y in zip(*found):
             assert np.intersect1d(x, y).size
-
-
-@pytest.mark.parametrize("buckets", [1, 5])
-def test_held_counts(buckets):
-    """Each set's tokens that another set holds, whatever the chunks; copies of a set in other chunks count as the same set."""
-    rng = np.random.default_rng(buckets)
-    sets = [np.unique(rng.integers(0, 60, 12).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for _ in range(12)]
-    numbers = [5, -7, 2**62, *range(100, 109)]
-    chunks = [[0, 1, 2, 3], [4, 5, 6], [7, 8, 0], [9, 10, 11]]
-    rows = pa.Table.from_batches([jaccard.chunk_postings([sets[i] for i in c], [numbers[i] for i in c], buckets) for c in chunks])
-    got = {}
-    for k in range(buckets):
-        for r in jaccard.held_counts(rows.filter(pc.equal(rows["bucket"], k))).to_pylist():
-            got[r["owner"]] = got.get(r["owner"], 0) + r["c"]
-    for i, s in enumerate(sets):
-        held = sum(any(t in sets[j] for j in range(12) if j != i) for t in s)
-        if i:
-            assert got.get(numbers[i], 0) == held
-        else:  # it stands in two chunks: what it shares in both counts twice, never less
-            assert got.get(numbers[i], 0) >= held
