@@ -4,8 +4,8 @@ import random
 import numpy as np
 import pytest
 
-from heronq.llm import queries
-from heronq.llm.substring_dedup import Row, anchors, double, substring_dedup
+from heronq.llm import held, queries
+from heronq.llm.substring_dedup import Windows, anchors, double, substring_dedup
 from tests.llm.cases import ODD_TEXTS, odd_documents, python_words
 
 
@@ -93,10 +93,15 @@ def test_op4_query(spark, sf_dir):
 def test_every_window_holds_a_half_around_its_anchor():
     rng = np.random.default_rng(0)
     for window in (2, 3, 4, 5, 7, 20, 21):
-        row = Row(rng.integers(0, 9, 300, dtype=np.uint64) * np.uint64(2**40), window)
-        p = np.unique(row.anchor)
-        everything = row.windows(p[p < len(row.half)], p[p >= row.base])
-        assert everything.tolist() == list(range(300 - window + 1))
-    assert anchors(np.array([3, 1, 1, 2], np.uint64), 3).tolist() == [1, 1]
+        first = np.array([0, 300, 300, 300 + window - 1, 400])
+        row = Windows(rng.integers(1, 10, 400, dtype=np.uint64) * np.uint64(2**40), first, window)
+        repeated = np.concatenate([(h & held.SENT) | np.uint64(k << held.SENT_BITS) for k, h in enumerate(row.anchor_hashes())])
+        (p, right, left), (start, _, at, to_right) = row.around(repeated)
+        assert start.tolist() == [i for a, z in zip(first, first[1:]) for i in range(a, z - window + 1)]
+        assert p.tolist() == sorted(set(at.tolist())) == row.place.tolist()
+        assert ((start <= at) & (at + row.base <= start + window)).all()
+        assert (to_right | (at - row.base >= start)).all()  # the half to the left lies in the window
+        assert (right[np.searchsorted(p, at[to_right])] != 0).all() and (left[np.searchsorted(p, at[~to_right])] != 0).all()
+    assert anchors(np.array([3, 1, 1, 2], np.uint64) << np.uint64(40), 3).tolist() == [1, 1]
     h = rng.integers(0, 2**60, 10, dtype=np.uint64)
     assert len(double(h, 4)) == 6 and len(double(h, 10)) == 0
