@@ -40,9 +40,9 @@ def left_join(t):
     return t.customer.join(t.orders, F.col("c_custkey") == F.col("o_custkey"), "left").groupBy("c_custkey").agg(F.count("o_orderkey").alias("n"))
 
 
-@query("SELECT c_custkey, s_suppkey FROM (SELECT * FROM customer WHERE c_custkey < 60) c FULL JOIN (SELECT * FROM supplier WHERE s_suppkey < 90) s ON c_custkey = s_suppkey")
+@query("SELECT c_custkey, s_suppkey FROM customer FULL JOIN supplier ON c_custkey = s_suppkey - 5")
 def full_join(t):
-    return t.customer.where("c_custkey < 60").join(t.supplier.where("s_suppkey < 90"), F.col("c_custkey") == F.col("s_suppkey"), "full").select("c_custkey", "s_suppkey")
+    return t.customer.join(t.supplier, F.col("c_custkey") == F.col("s_suppkey") - 5, "full").select("c_custkey", "s_suppkey")
 
 
 @query("SELECT r_name, n_name FROM nation RIGHT JOIN region ON n_regionkey = r_regionkey AND n_name LIKE 'A%'")

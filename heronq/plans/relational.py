@@ -45,17 +45,17 @@ def scan_filter_project(t):
     return t.lineitem.where("l_quantity < 3 AND l_returnflag = 'A'").select("l_orderkey", "l_partkey", "l_quantity")
 
 
-@query("SELECT o_orderkey, o_totalprice * 1.1 AS gross, upper(o_orderstatus) AS status, o_custkey + 1 AS next_cust FROM orders WHERE o_orderkey < 2000")
+@query("SELECT o_orderkey, o_totalprice * 1.1 AS gross, upper(o_orderstatus) AS status, o_custkey + 1 AS next_cust FROM orders")
 def derived_columns(t):
-    return t.orders.where("o_orderkey < 2000").withColumns({"gross": F.col("o_totalprice") * 1.1, "status": F.upper("o_orderstatus"), "next_cust": F.col("o_custkey") + 1}).select("o_orderkey", "gross", "status", "next_cust")
+    return t.orders.withColumns({"gross": F.col("o_totalprice") * 1.1, "status": F.upper("o_orderstatus"), "next_cust": F.col("o_custkey") + 1}).select("o_orderkey", "gross", "status", "next_cust")
 
 
 @query("""
 SELECT c_custkey FROM customer WHERE c_acctbal BETWEEN 0 AND 5000 AND c_mktsegment IN ('BUILDING', 'MACHINERY')
-  AND c_nationkey IS NOT DISTINCT FROM c_nationkey AND c_name LIKE '%1%' AND regexp_matches(c_name, '[0-9]+5$')""")
+  AND nullif(c_nationkey, 5) IS NOT DISTINCT FROM c_nationkey AND c_name LIKE '%1%' AND regexp_matches(c_name, '[0-9]+5$')""")
 def predicates(t):
     c = t.customer
-    return c.where(c.c_acctbal.between(0, 5000) & c.c_mktsegment.isin("BUILDING", "MACHINERY") & c.c_nationkey.eqNullSafe(c.c_nationkey) & c.c_name.like("%1%") & c.c_name.rlike("[0-9]+5$")).select("c_custkey")
+    return c.where(c.c_acctbal.between(0, 5000) & c.c_mktsegment.isin("BUILDING", "MACHINERY") & F.nullif(c.c_nationkey, F.lit(5)).eqNullSafe(c.c_nationkey) & c.c_name.like("%1%") & c.c_name.rlike("[0-9]+5$")).select("c_custkey")
 
 
 @query("""

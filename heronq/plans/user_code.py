@@ -53,10 +53,10 @@ def udtf(t):
     return t.sql("SELECT n_nationkey, w.word FROM {nation}, LATERAL heronq_words(n_name) w", "nation")
 
 
-@query("SELECT o_orderkey, o_totalprice * 1.19 AS gross FROM orders WHERE o_orderkey < 3000")
+@query("SELECT o_orderkey, o_totalprice * 1.19 AS gross FROM orders")
 def sql_function(t):
     t.spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION heronq_gross(x DOUBLE, rate DOUBLE) RETURNS DOUBLE RETURN x * rate")
-    return t.sql("SELECT o_orderkey, heronq_gross(o_totalprice, 1.19D) AS gross FROM {orders} WHERE o_orderkey < 3000", "orders")
+    return t.sql("SELECT o_orderkey, heronq_gross(o_totalprice, 1.19D) AS gross FROM {orders}", "orders")
 
 
 @query("SELECT p_partkey, p_size * 2 AS twice FROM part WHERE p_size > 40")
