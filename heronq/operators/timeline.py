@@ -10,24 +10,37 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[str], time: str, col
     """Each left row with the columns of the latest right row of its keys at or before its time (before it, if strict).
 
     One shuffle by key: both sides are united, sorted by time, and the last right row is carried
-    forward. Right rows that tie in time count in an order of their columns. Left rows without a match have nulls.
+    forward. Right rows that tie in time count in an order of their columns. Left rows without a match have nulls, as have
+    those with a null key: null equals nothing, as in a join.
     """
     picked = F.struct(*columns)
     lrows = left.select(*keys, time, F.struct(*left.columns).alias("l"), F.lit(None).cast(right.select(picked.alias("r")).schema["r"].dataType).alias("r"), F.lit(0 if strict else 1).alias("side"))
     rrows = right.select(*keys, time, F.lit(None).cast(lrows.schema["l"].dataType).alias("l"), picked.alias("r"), F.lit(1 if strict else 0).alias("side"))
+    whole = F.lit(True)
+    for k in keys:
+        whole = whole & F.col(k).isNotNull()
     w = Window.partitionBy(*keys).orderBy(time, "side", "r").rowsBetween(Window.unboundedPreceding, 0)
-    found = lrows.unionByName(rrows).withColumn("m", F.last("r", ignorenulls=True).over(w)).where("l IS NOT NULL")
+    found = lrows.unionByName(rrows).withColumn("m", F.when(whole, F.last("r", ignorenulls=True).over(w))).where("l IS NOT NULL")
     return found.select("l.*", *[F.col(f"m.{c}").alias(c) for c in columns])
 
 
+#: Buckets that an interval touches at one level of range_join, but for one more; the next level's are so many times as wide.
+SPREAD = 64
+
+
 def range_join(left: DataFrame, right: DataFrame, at: str, low: str, high: str, width: float, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Pairs with low <= at < high, by equal buckets of the given width, so the join is an equi-join.
+    """Pairs with low <= at < high, by equal buckets, so the join is an equi-join.
 
-    at is numeric; each right row is repeated once for each bucket its interval touches.
+    at is numeric. Buckets have the given width, for intervals wider than SPREAD of these SPREAD times that width, and so on: a right row is
+    repeated SPREAD + 1 times at most, a left row once for each level that the widest interval needs. Intervals must be finite.
     """
-    bucket = lambda c: F.floor(F.col(c) / F.lit(width)).cast("long")
-    spread = right.where(F.col(low) < F.col(high)).withColumn("_bucket", F.explode(F.sequence(bucket(low), bucket(high))))
-    return left.withColumn("_bucket", bucket(at)).join(spread, [*keys, "_bucket"]).where((F.col(at) >= F.col(low)) & (F.col(at) < F.col(high))).drop("_bucket")
+    right = right.where(F.col(low) < F.col(high))
+    level = F.greatest(F.lit(0), F.ceil(F.log(float(SPREAD), (F.col(high) - F.col(low)) / F.lit(float(width))))).cast("int")
+    levels = (right.agg(F.max(level)).first()[0] or 0) + 1
+    bucket = lambda c: F.floor(F.col(c) / (F.lit(float(width)) * F.pow(F.lit(float(SPREAD)), F.col("_level")))).cast("long")
+    spread = right.withColumn("_level", level).withColumn("_bucket", F.explode(F.sequence(bucket(low), bucket(high))))
+    points = left.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(levels - 1)))).withColumn("_bucket", bucket(at))
+    return points.join(spread, [*keys, "_level", "_bucket"]).where((F.col(at) >= F.col(low)) & (F.col(at) < F.col(high))).drop("_level", "_bucket")
 
 
 def sessionize(events: DataFrame, key: str, time: str, gap_seconds: int) -> DataFrame:
