@@ -28,6 +28,16 @@ def stream_tumbling_append(t):
     return run_to_table(counts.select(_start().alias("day"), "n"))
 
 
+@query("""
+WITH e AS (SELECT ts, CAST(floor(epoch(ts)) AS BIGINT) AS s FROM events), b AS (SELECT min(s) AS lo, max(s) + 1 - min(s) AS span FROM e)
+SELECT time_bucket(INTERVAL 1 DAY, ts)::TIMESTAMP AS day, count(*) AS n FROM e, b WHERE NOT (s >= lo + span * 3 // 6 AND s < lo + span * 4 // 6)
+GROUP BY 1 HAVING time_bucket(INTERVAL 1 DAY, any_value(ts)) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
+def stream_late_rows(t):
+    """The fourth of six slices comes last, when the watermark of the fifth has closed its windows: its rows are dropped."""
+    counts = replay(t.spark, t.events, order=(0, 1, 2, 4, 5, 3)).withWatermark("ts", "1 hour").groupBy(F.window("ts", "1 day")).agg(F.count("*").alias("n"))
+    return run_to_table(counts.select(_start().alias("day"), "n"))
+
+
 @query("""
 SELECT start::TIMESTAMP AS start, count(*) AS n FROM (SELECT unnest([time_bucket(INTERVAL 12 HOUR, ts), time_bucket(INTERVAL 12 HOUR, ts) - INTERVAL 12 HOUR]) AS start FROM events) GROUP BY start""")
 def stream_sliding_complete(t):
