@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,11 @@ from pyspark.sql import SparkSession
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, or below a local one where that is unset."""
+    """A new folder below spark.checkpoint.dir; where that is unset, below a local one if there is only this machine."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="heronq-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/scratch-{uuid.uuid4().hex}"
