@@ -22,31 +22,46 @@ ORACLE_SQL = None
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the classifier rejects."""
+    """Drops the documents that the classifier rejects.
+
+    Null and empty texts have no features and go or stay by the model's intercept; null ids, sources and languages, repeated rows and
+    extra columns change nothing; very long texts are read whole; no rows give no rows.
+    """
     return nbsvm.accepted(docs, table(spark, sf_dir, "labels"), threshold=QUALITY_SCORE)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents of expected toxic grade."""
+    """Drops the documents of expected toxic grade.
+
+    Null and empty texts are judged by the thresholds alone; the rest is as for the classifier.
+    """
     return ordinal.harmless(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest doc_id of each component of similar documents; of repeated rows one."""
-    found = jaccard.join_components(docs, SHINGLE_WORDS, SIMILAR_PERCENT)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first_id")).distinct()
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"])
+    """Keeps one document of each component of similar documents, that of smallest doc_id; of repeated rows one.
+
+    Null ids come after all others, and rows are told apart by id and text. Texts without words, null ones too, are similar to none and
+    stay. Extra columns may have any names; no rows give no rows.
+    """
+    return jaccard.one_of_each(docs, SHINGLE_WORDS, SIMILAR_PERCENT)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts passages that stand earlier in the corpus; n_chars follows the text."""
+    """Cuts passages that stand earlier in the corpus; n_chars follows the text.
+
+    Null texts become empty; of rows with equal ids neither is earlier, null ids are one id after all others; extra columns stay;
+    very long texts are cut like others; no rows give no rows.
+    """
     cut = substring_dedup.without_repeats(docs, REPEAT_WORDS)
     return cut.withColumn("n_chars", F.length(F.coalesce("text", F.lit(""))).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into windows with the corpus' mixture of sources."""
+    """Packs what is left into windows with the corpus' mixture of sources.
+
+    Null texts are the end id alone, null sources the queue ""; repeated rows are packed again; extra columns go; no rows give no pieces.
+    """
     pieces = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "queue")
 
