@@ -8,6 +8,7 @@ directly and never makes one Python object per word.
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -41,9 +42,12 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder that driver and executors share, below spark.checkpoint.dir."""
+    """A new folder that driver and executors share, below spark.checkpoint.dir; below a local one where that is unset and there is only
+    this machine."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="heronq-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/heronq-{uuid.uuid4().hex}"

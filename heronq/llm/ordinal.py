@@ -7,9 +7,11 @@ to GRADES by the density of strongly toxic features in them, at quantiles of the
 rows. One weight vector is shared by all thresholds: P(grade <= k) = 1 / (1 + exp(-(theta_k - w x))).
 The result is the expected grade; a row is toxic where P(grade >= 1) is at least the threshold.
 
-The model is fitted on at most per_class labelled rows of each class, none held out. Null and empty
-texts have no features: their grade follows from the thresholds alone. Without toxic labels every
-row has severity 0. Repeated rows, ties and extra columns change nothing.
+The model is fitted on at most per_class labelled rows of each class, none held out, and has at most
+`features` features, each in LEAST_ROWS toxic rows of the sample or more. Null and empty
+texts have no features: their grade follows from the thresholds alone. Without toxic labels, or where no
+feature stands in so many rows, every row has severity 0. Very long texts are read whole; null doc_ids are graded, but never fitted on.
+Repeated rows, ties and extra columns change nothing. Grades above 1 come from the features themselves, as labels know only 0 and 1.
 """
 
 from __future__ import annotations
@@ -18,10 +20,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heronq.llm.common import _BYTE, _P, LOWER, arrow_map, batch, filter_rows, mix, utf8, word_hashes, word_spans
+from heronq.llm.common import _BYTE, _P, arrow_map, batch, filter_rows, lower_bytes, mix, settle, utf8, word_hashes, word_spans
 from heronq.llm.training import class_counts, held_out, labelled_sample, sampled_texts
 
 PER_CLASS = 4_000
@@ -40,15 +42,6 @@ _APART[list(range(48, 58)) + list(range(65, 91)) + list(range(97, 123)) + list(r
 _STEP = np.array([pow(int(_P), k, 1 << 64) for k in range(MAX_PREFIX)], np.uint64)
 
 
-def lower_bytes(data: np.ndarray) -> np.ndarray:
-    """ASCII and Latin-1 capitals in lower case, in UTF-8."""
-    low = LOWER[data]
-    if len(low) > 1:
-        after = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)) + 1
-        low[after] += 0x20
-    return low
-
-
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, hash) of every word and word beginning, and the words of each row."""
     low = lower_bytes(data)
@@ -101,18 +94,14 @@ def values(count: np.ndarray, words: np.ndarray) -> np.ndarray:
     return np.log1p(count * PER_WORDS / np.maximum(words, 1))
 
 
-def select_features(counts: np.ndarray, n_toxic: int, n_other: int, features: int) -> np.ndarray:
-    """Indices of the best features; counts are (toxic rows, other rows) with the feature."""
-    a, b = counts[:, 0].astype(float), counts[:, 1].astype(float)
-    pa_, pb = (a + 0.1) / (n_toxic + 0.2), (b + 0.1) / (n_other + 0.2)
-    p = (a + b + 0.2) / (n_toxic + n_other + 0.4)
-
-    def ll(k, n, q):
-        return k * np.log(q) + (n - k) * np.log1p(-np.minimum(q, 1 - 1e-12))
-
-    gain = ll(a, n_toxic, pa_) + ll(b, n_other, pb) - ll(a, n_toxic, p) - ll(b, n_other, p)
-    gain = np.where(pa_ > pb, gain, -gain)
-    return np.sort(np.argsort(-gain, kind="stable")[:features])
+def gain(n_toxic: int, n_other: int) -> Column:
+    """Likelihood ratio of a feature that stands in `toxic` toxic rows and `other` others, less than 0 where it speaks against toxicity."""
+    share = lambda k, n: (k + F.lit(0.1)) / F.lit(n + 0.2)
+    fit_ = lambda k, n, q: k * F.ln(q) + (F.lit(float(n)) - k) * F.ln(F.greatest(F.lit(1e-12), 1 - q))
+    a, b = F.col("toxic").cast("double"), F.col("other").cast("double")
+    both = (a + b + F.lit(0.2)) / F.lit(n_toxic + n_other + 0.4)
+    ratio = fit_(a, n_toxic, share(a, n_toxic)) + fit_(b, n_other, share(b, n_other)) - fit_(a, n_toxic, both) - fit_(b, n_other, both)
+    return F.when(share(a, n_toxic) > share(b, n_other), ratio).otherwise(-ratio)
 
 
 def fit_ordinal(n_rows: int, rows: np.ndarray, feats: np.ndarray, x: np.ndarray, grade: np.ndarray, weight: np.ndarray, dim: int, grades: int = GRADES, ridge: float = 2e-3, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
@@ -158,7 +147,8 @@ _SPARSE = pa.schema([("y", pa.int32()), ("words", pa.int64()), ("f", pa.binary()
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS, features: int = FEATURES) -> Model:
-    sample = sampled_texts(docs, labelled_sample(labels, label, per_class)).select("doc_id", "text", "y")
+    # the sample is bounded, so it is written out once and the tables of all documents are read once
+    texts = settle(sampled_texts(docs, labelled_sample(labels, label, per_class)).select("text", "y"), "sample")
     natural = class_counts(labels, label)
 
     def present(batches):
@@ -178,24 +168,19 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
             both = np.bincount(inverse, minlength=len(names))
             yield batch(_COUNTED, names.view(np.int64), toxic, both - toxic)
 
-    texts = sample.select("text", "y")
     totals = {r.y: r.n for r in texts.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_other = totals.get(1, 0), totals.get(0, 0)
     if not n_toxic or not n_other:
         return Model()
     counted = arrow_map(texts, present, "h long, toxic long, other long").groupBy("h").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-    # the least count bounds nothing by itself; the best by share of toxic rows, ten times as many as are kept, go on
-    lift = (F.col("toxic") + 0.1) / (F.col("other") + 1.0) * F.sqrt("toxic")
-    best = counted.where(F.col("toxic") >= LEAST_ROWS).orderBy(F.desc(lift), "h").limit(10 * features).collect()
+    best = counted.where(F.col("toxic") >= LEAST_ROWS).orderBy(F.desc(gain(n_toxic, n_other)), "h").limit(features).collect()
     if not best:
         return Model()
+    best.sort(key=lambda r: r.h % (1 << 64))
     table = np.array([(r.toxic, r.other) for r in best], np.int64)
     names = np.array([r.h for r in best], np.int64).view(np.uint64)
-    keep = select_features(table, n_toxic, n_other, features)
-    order = np.argsort(names[keep])
-    keep = keep[order]
-    strong = (table[keep, 0] + 0.1) / (n_toxic + 0.2) > 8 * (table[keep, 1] + 0.5) / (n_other + 1.0)
-    model = Model(names[keep], np.zeros(len(keep)))
+    strong = (table[:, 0] + 0.1) / (n_toxic + 0.2) > 8 * (table[:, 1] + 0.5) / (n_other + 1.0)
+    model = Model(names, np.zeros(len(names)))
 
     def sparse(batches):
         for b in batches:
@@ -215,7 +200,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
     weight = np.where(y == 1, natural[1] / n_toxic, natural[0] / n_other)
     rows = np.repeat(np.arange(len(got)), [len(x) for x in f])
     feats, counts = (np.concatenate(a).astype(np.int64) if a else np.zeros(0, np.int64) for a in (f, c))
-    model.weights, model.thetas = fit_ordinal(len(got), rows, feats, values(counts, words[rows]), grade, weight, len(keep))
+    model.weights, model.thetas = fit_ordinal(len(got), rows, feats, values(counts, words[rows]), grade, weight, len(names))
     return model
 
 
