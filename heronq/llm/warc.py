@@ -43,8 +43,9 @@ def plan_records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """pages (page_id, url, html) -> (page_id, url, payload, refers_to); refers_to is null for responses."""
     payload = F.coalesce(F.encode("html", "UTF-8"), F.lit(b""))
     rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", F.sha1("payload"))
+    # digests without payloads, written out: few are broadcast by the engine, and of many a hot one can be split in the join
     firsts = rows.where(F.octet_length("payload") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    firsts = firsts.where("n > 1").select("digest", "first")
+    firsts = settle(firsts.where("n > 1").select("digest", "first"), "firsts")
     same = F.col("page_id").eqNullSafe(F.col("first"))
     return rows.join(firsts, "digest", "left").select("page_id", "url", "payload", F.when(~same, F.col("first")).alias("refers_to"))
 

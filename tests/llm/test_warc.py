@@ -88,3 +88,11 @@ def test_cut_streams_are_refused():
     raw = gzip.compress(warc.record(1, "u", b"payload" * 50, None, "1970-01-01T00:00:00Z"))
     with pytest.raises((EOFError, zlib.error)):
         warc.normalise_stream(io.BytesIO(raw[: len(raw) // 2]), io.BytesIO())
+
+
+def test_one_payload_in_most_pages(spark):
+    """A payload of most rows: one response, all others refer to it."""
+    rows = [(i, f"http://h/{i}", "same" if i % 8 else f"own {i}") for i in range(5, 165)]
+    pages = spark.createDataFrame(rows[::-1], "page_id long, url string, html string").repartition(5)
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.archive_pages(pages).collect()}
+    assert got == {i: ("response", None) if i == 5 or i % 8 == 0 else ("revisit", 5) for i, _, _ in rows}
