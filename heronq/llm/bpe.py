@@ -4,7 +4,8 @@ A piece of n symbols has n - 1 adjacent pairs. Leaf i of its tree holds rank * s
 pair that starts at symbol i, or a value above all others; every inner node holds the lesser child. The
 root therefore yields the leftmost pair of lowest rank. A merge changes three leaves (the pair
 itself, the one before, the one that vanishes) and their O(log n) ancestors. Pieces of like length
-share one array, so a step merges the roots of all unfinished pieces together.
+share one array, so a step merges the roots of all unfinished pieces together; a few pieces alone, such as
+very long words, have a tree each.
 
 Null and empty texts have no ids. The text of an added token becomes its id, leftmost and longest
 first, as in the tokenizer file.
@@ -20,8 +21,8 @@ import regex
 from heronq.llm.wordcache import CACHE_ENTRIES, PieceCache, encode_all, full_piece
 
 _NONE = np.int64(1) << np.int64(62)
-#: Symbols of pieces worked on together.
-_TOGETHER = 1 << 18
+#: Symbols of pieces worked on together; fewer pieces than this go one by one.
+_TOGETHER, _FEW = 1 << 18, 8
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -90,6 +91,8 @@ class SegmentTreeBPE:
         pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         left, right, merged = (np.array(x, np.int64) for x in zip(*((vocab[a], vocab[b], vocab[a + b]) for a, b in pairs)))
         self.pairs = PairRanks(left, right, merged)
+        self.rank_of = {(a << 32) | b: i for i, (a, b) in enumerate(zip(left.tolist(), right.tolist()))}
+        self.merged = merged.tolist()
         self.token_bytes = [b""] * (max([*vocab.values(), *added.values()]) + 1)
         for t, i in vocab.items():
             self.token_bytes[i] = bytes(back[c] for c in t)
@@ -112,11 +115,53 @@ class SegmentTreeBPE:
             size = 1 << int(np.ceil(np.log2(max(2, lengths[order[i]]))))
             j = min(int(np.searchsorted(lengths[order], size, "right")), i + max(1, _TOGETHER // size))
             some = order[i:j]
-            for k, ids in zip(some.tolist(), self._merge_group([pieces[k] for k in some], size)):
+            group = [pieces[k] for k in some]
+            for k, ids in zip(some.tolist(), self._merge_group(group, size) if len(group) >= _FEW else map(self._merge_one, group)):
                 out[k] = ids
             i = j
         return out
 
+    def _merge_one(self, piece: bytes) -> np.ndarray:
+        """The same tree for a piece by itself, as a plain list: a step costs some list accesses, not some array calls."""
+        sym, n = self.symbol[np.frombuffer(piece, np.uint8)].tolist(), len(piece)
+        size, none, rank_of, merged = 1 << (n - 1).bit_length(), int(_NONE), self.rank_of.get, self.merged
+        tree = [none] * (2 * size)
+        for i in range(n - 1):
+            r = rank_of((sym[i] << 32) | sym[i + 1])
+            if r is not None:
+                tree[size + i] = r * size + i
+        for i in range(size - 1, 0, -1):
+            tree[i] = min(tree[2 * i], tree[2 * i + 1])
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+
+        def update(i: int, value: int) -> None:
+            i += size
+            tree[i] = value
+            while i > 1:
+                i >>= 1
+                a, b = tree[2 * i], tree[2 * i + 1]
+                value = a if a < b else b
+                if tree[i] == value:
+                    return
+                tree[i] = value
+
+        def pair(i: int, j: int) -> int:
+            r = rank_of((sym[i] << 32) | sym[j])
+            return none if r is None else r * size + i
+
+        while n > 1 and (root := tree[1]) < none:
+            p = root & (size - 1)
+            q = after[p]
+            sym[p], sym[q] = merged[root // size], -1
+            r = after[p] = after[q]
+            update(q, none)
+            if r < n:
+                before[r] = p
+            update(p, pair(p, r) if r < n else none)
+            if (o := before[p]) >= 0:
+                update(o, pair(o, p))
+        return np.array([s for s in sym if s >= 0], "<u4")
+
     def _ranked(self, left: np.ndarray, right: np.ndarray, place: np.ndarray, size: int) -> np.ndarray:
         at = self.pairs.find(left, right)
         return np.where(at >= 0, self.pairs.rank[at] * size + place, _NONE)

@@ -55,6 +55,18 @@ def test_root_takes_leftmost_lowest_rank():
         assert ids.tolist() == library.encode(piece, add_special_tokens=False).ids
 
 
+def test_long_unbroken_words():
+    """Alone or among others, of letters in any order; a word of 200,000 letters takes seconds, not minutes."""
+    tree, library = bpe.SegmentTreeBPE(FILE, P.PATTERN), Tokenizer.from_file(FILE)
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)) for n in (1, 2, 3, 9, 17, 900, 1000, 20_000, 200_000)]
+    for some in (words, [w for w in words[:6] for _ in range(9)]):
+        for word, ids in zip(some, tree.merge([w.encode() for w in some])):
+            assert ids.tolist() == library.encode(word, add_special_tokens=False).ids
+    for word in words:
+        assert tree._merge_one(word.encode()).tolist() == tree._merge_group([word.encode()] * 2, 1 << max(1, (len(word) - 1).bit_length()))[0].tolist() if len(word) < 2000 else True
+
+
 def test_codec_query_on_odd_rows(spark):
     docs = odd_documents(spark)
     library = Tokenizer.from_file(FILE)
