@@ -60,13 +60,14 @@ _LETTERS = [("latin", 0x41, 0x24F), ("greek", 0x370, 0x3FF), ("cyrillic", 0x400,
 
 
 def script_of(text: str) -> str:
-    """The script of most letters among up to 256 characters spread over the whole text; latin without letters."""
-    step = max(1, len(text) // 256)
-    points = np.fromiter(map(ord, (c for c in text[::step] if c.isalpha())), np.int64)
+    """The script of most letters of the whole text; latin without letters."""
+    points, n = np.unique(np.frombuffer(text.encode("utf-32-le", "replace"), "<u4"), return_counts=True)
+    letter = np.fromiter((chr(c).isalpha() for c in points.tolist()), bool, len(points))
+    points, n = points[letter], n[letter]
     counts: dict[str, int] = {}
     for name, a, b in _LETTERS:
-        counts[name] = counts.get(name, 0) + int(((points >= a) & (points <= b)).sum())
-    counts["other"] = len(points) - sum(counts.values())
+        counts[name] = counts.get(name, 0) + int(n[(points >= a) & (points <= b)].sum())
+    counts["other"] = int(n.sum()) - sum(counts.values())
     return max(counts, key=lambda k: counts[k]) if len(points) else "latin"
 
 

@@ -71,3 +71,9 @@ def test_good_documents_stay_and_repetition_goes(spark, sf_dir):
 
 def test_scripts():
     assert [script_of(t) for t in ("hello", "привет", "日本語テキスト", "γειά", "123", "שלום")] == ["latin", "cyrillic", "han", "greek", "latin", "other"]
+
+
+def test_script_is_judged_on_the_whole_text():
+    assert script_of("б" + "a" * 3 + "бб" * 600) == "cyrillic"
+    assert script_of(("a" + "б" * 9) * 256) == "cyrillic"  # every tenth letter would say latin
+    assert script_of("日本語 テキスト x") == "han" and script_of("12 !") == script_of("") == "latin"
