@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heronq.llm import codec, embedding_dedup, jaccard, nbsvm, ordinal, packing, quality_rules, substring_dedup, token_files, warc
+from heronq.llm import codec, embedding_dedup, jaccard, nbsvm, ordinal, packing, quality_rules, substring_dedup, token_files, twins, warc
 from heronq.llm.common import table
 
 
@@ -74,7 +74,8 @@ def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.archive_pages(table(spark, sf_dir, "pages"), min_bytes=0)
+    got = warc.archive_pages(table(spark, sf_dir, "pages"), min_bytes=0)
+    return got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -82,4 +83,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(twins.ORACLES)
