@@ -52,10 +52,10 @@ def derived_columns(t):
 
 @query("""
 SELECT c_custkey FROM customer WHERE c_acctbal BETWEEN 0 AND 5000 AND c_mktsegment IN ('BUILDING', 'MACHINERY')
-  AND nullif(c_nationkey, 5) IS NOT DISTINCT FROM c_nationkey AND c_name LIKE '%1%' AND regexp_matches(c_name, '[0-9]+5$')""")
+  AND nullif(c_nationkey, 5) IS NOT DISTINCT FROM nullif(c_nationkey, 7) AND c_name LIKE '%1%' AND regexp_matches(c_name, '[0-9]+5$')""")
 def predicates(t):
     c = t.customer
-    return c.where(c.c_acctbal.between(0, 5000) & c.c_mktsegment.isin("BUILDING", "MACHINERY") & F.nullif(c.c_nationkey, F.lit(5)).eqNullSafe(c.c_nationkey) & c.c_name.like("%1%") & c.c_name.rlike("[0-9]+5$")).select("c_custkey")
+    return c.where(c.c_acctbal.between(0, 5000) & c.c_mktsegment.isin("BUILDING", "MACHINERY") & F.nullif(c.c_nationkey, F.lit(5)).eqNullSafe(F.nullif(c.c_nationkey, F.lit(7))) & c.c_name.like("%1%") & c.c_name.rlike("[0-9]+5$")).select("c_custkey")
 
 
 @query("""
@@ -98,7 +98,7 @@ def inline(t):
 
 @query()
 def sampling(t):
-    return t.orders.sample(0.1, seed=7).select("o_orderkey").unionByName(t.orders.sampleBy("o_orderstatus", {"F": 0.05, "P": 0.5}, seed=7).select("o_orderkey"))
+    return t.orders.sample(False, 0.1, 7).select("o_orderkey").unionByName(t.orders.sampleBy("o_orderstatus", {"F": 0.05, "P": 0.5}, seed=7).select("o_orderkey"))
 
 
 @query()
@@ -161,6 +161,12 @@ def sketch_union(t):
     return e.agg(F.hll_sketch_estimate(F.hll_union_agg("s")).alias("users"), F.theta_sketch_estimate(F.theta_union_agg("th")).alias("theta_users"))
 
 
+@query()
+def count_min(t):
+    """A count-min sketch of the users of each kind of event; CountMinSketch of the engine's Java library reads it."""
+    return t.events.groupBy("event_type").agg(F.count_min_sketch(F.col("user_id"), F.lit(0.001), F.lit(0.99), F.lit(7)).alias("sketch"))
+
+
 @query("SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
 def rollup(t):
     return t.orders.rollup("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"))
@@ -177,14 +183,21 @@ def grouping_sets(t):
     return li.groupingSets([[li.l_returnflag], [li.l_linestatus], []], li.l_returnflag, li.l_linestatus).agg(F.sum("l_quantity").alias("q"))
 
 
-@query("SELECT n_regionkey, list(n_name ORDER BY n_name) AS names, string_agg(n_name, ',' ORDER BY n_name) AS joined FROM nation GROUP BY n_regionkey")
+@query("""
+SELECT n_regionkey, list(n_name ORDER BY n_name) AS names, string_agg(n_name, ',' ORDER BY n_name DESC) AS joined, string_agg(DISTINCT n_name[1:1], '') AS letters, list(n_nationkey ORDER BY n_nationkey) AS keys
+FROM nation GROUP BY n_regionkey""")
 def collected(t):
-    return t.nation.groupBy("n_regionkey").agg(F.sort_array(F.collect_list("n_name")).alias("names"), F.concat_ws(",", F.sort_array(F.collect_set("n_name"))).alias("joined"))
+    return t.sql("""
+        SELECT n_regionkey, sort_array(collect_list(n_name)) AS names, listagg(n_name, ',') WITHIN GROUP (ORDER BY n_name DESC) AS joined, array_join(collect_set(left(n_name, 1)), '') AS letters,
+          sort_array(array_agg(n_nationkey)) AS keys FROM {nation} GROUP BY n_regionkey""", "nation")
 
 
-@query("SELECT c_nationkey, arg_max(c_custkey, c_custkey) AS last_key, arg_min(c_name, c_custkey) AS first_name FROM customer GROUP BY c_nationkey")
+@query("""
+WITH segments AS (SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY ALL),
+modes AS (SELECT c_nationkey, c_mktsegment AS usual FROM segments QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY n DESC, c_mktsegment) = 1)
+SELECT c_nationkey, arg_max(c_custkey, c_custkey) AS last_key, arg_min(c_name, c_custkey) AS first_name, any_value(usual) AS usual, any_value(c_nationkey * 2) AS twice FROM customer JOIN modes USING (c_nationkey) GROUP BY c_nationkey""")
 def extremes_by(t):
-    return t.customer.groupBy("c_nationkey").agg(F.max_by("c_custkey", "c_custkey").alias("last_key"), F.min_by("c_name", "c_custkey").alias("first_name"))
+    return t.customer.groupBy("c_nationkey").agg(F.max_by("c_custkey", "c_custkey").alias("last_key"), F.min_by("c_name", "c_custkey").alias("first_name"), F.mode("c_mktsegment", True).alias("usual"), F.any_value(F.col("c_nationkey") * 2).alias("twice"))
 
 
 @query("""
@@ -297,9 +310,9 @@ def intersect_all(t):
     return t.customer.select(F.col("c_nationkey").alias("k")).intersectAll(t.supplier.select("s_nationkey"))
 
 
-@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F'")
 def except_distinct(t):
-    return t.customer.select(F.col("c_custkey").alias("k")).subtract(t.orders.select("o_custkey"))
+    return t.customer.select(F.col("c_custkey").alias("k")).subtract(t.orders.where("o_orderstatus = 'F'").select("o_custkey"))
 
 
 @query("SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier")

@@ -47,9 +47,16 @@ def regex_functions(t):
     return t.part.select("p_partkey", F.regexp_extract("p_brand", "([0-9]+)", 1).alias("a"), F.regexp_replace("p_type", "[AEIOU]", ".").alias("b"), F.regexp_like("p_type", F.lit("^S.*")).alias("c"), F.regexp_extract_all("p_brand", F.lit("[0-9]"), F.lit(0)).alias("d"), F.size(F.split("p_name", " ")).cast(L).alias("e"))
 
 
+@query("""
+SELECT n_nationkey, array_to_string(list_transform(string_split(lower(n_name), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS title, n_name[1:1] || '__' || n_name[4:] AS over,
+  printf('%s-%03d', n_name, n_nationkey) AS formatted FROM nation""")
+def string_shapes(t):
+    return t.nation.select("n_nationkey", F.initcap(F.lower("n_name")).alias("title"), F.overlay("n_name", F.lit("__"), 2).alias("over"), F.format_string("%s-%03d", "n_name", "n_nationkey").alias("formatted"))
+
+
 @query()
-def string_functions_without_twin(t):
-    return t.nation.select("n_nationkey", F.initcap(F.lower("n_name")).alias("title"), F.soundex("n_name").alias("sound"), F.overlay("n_name", F.lit("__"), 2).alias("over"), F.format_string("%s-%03d", "n_name", "n_nationkey").alias("formatted"))
+def soundex(t):
+    return t.region.select("r_name", F.soundex("r_name").alias("sound"))
 
 
 @query("""
@@ -93,10 +100,27 @@ def time_functions(t):
     )
 
 
-@query()
-def date_functions_without_twin(t):
+@query("""
+SELECT o_orderkey, o_orderdate::DATE + (8 - isodow(o_orderdate))::INTEGER AS monday,
+  round((year(o_orderdate) - 1995) * 12 + month(o_orderdate) - 1 + (day(o_orderdate) - 1) / 31.0::DOUBLE, 6) AS months, (dayofweek(o_orderdate) + 1)::BIGINT AS weekday,
+  extract(year FROM o_orderdate)::BIGINT AS y, extract(doy FROM o_orderdate)::BIGINT AS doy, (o_orderdate + INTERVAL 5 HOUR)::TIMESTAMP AS later, TIMESTAMP '2024-01-02 03:04:05' AS at FROM orders""")
+def calendar_functions(t):
     d = F.col("o_orderdate").cast("date")
-    return t.orders.select("o_orderkey", F.next_day(d, "Mon").alias("monday"), F.months_between(F.current_date(), d).isNotNull().alias("apart"), F.to_timestamp(F.lit("2024-01-02 03:04:05")).alias("at"), F.make_interval(F.lit(1)).cast("string").alias("year"))
+    return t.orders.select(
+        "o_orderkey",
+        F.next_day(d, "Mon").alias("monday"),
+        F.round(F.months_between(d, F.lit("1995-01-01").cast("date")), 6).alias("months"),
+        F.dayofweek(d).cast(L).alias("weekday"),
+        F.extract(F.lit("YEAR"), d).cast(L).alias("y"),
+        F.extract(F.lit("DOY"), d).cast(L).alias("doy"),
+        F.timestamp_add("HOUR", F.lit(5), "o_orderdate").alias("later"),
+        F.to_timestamp(F.lit("2024-01-02 03:04:05")).cast("timestamp_ntz").alias("at"),
+    )
+
+
+@query("SELECT r_regionkey, r_regionkey || ' years' AS span FROM region WHERE r_regionkey > 1")
+def intervals(t):
+    return t.region.where("r_regionkey > 1").select("r_regionkey", F.make_interval(F.col("r_regionkey")).cast("string").alias("span"))
 
 
 @query("""
@@ -133,9 +157,13 @@ def math_functions(t):
     )
 
 
-@query()
-def math_functions_without_twin(t):
-    return t.part.select("p_partkey", F.width_bucket(F.col("p_retailprice"), F.lit(0.0), F.lit(2000.0), F.lit(10)).alias("bucket"), F.conv(F.col("p_size").cast("string"), 10, 36).alias("base36"), F.bround("p_retailprice", 1).alias("even"))
+@query("""
+WITH p AS (SELECT *, round(p_retailprice * 100)::BIGINT AS cents FROM part)
+SELECT p_partkey, CASE WHEN p_retailprice >= 2000 THEN 11 ELSE floor(p_retailprice / 200) + 1 END::BIGINT AS bucket, to_base(p_size, 36) AS base36, round(log(3, p_size), 9) AS log3,
+  (cents // 10 + CASE WHEN cents % 10 > 5 OR cents % 10 = 5 AND cents // 10 % 2 = 1 THEN 1 ELSE 0 END) / 10 AS even FROM p""")
+def numeric_shapes(t):
+    p = F.col("p_retailprice")
+    return t.part.select("p_partkey", F.width_bucket(p, F.lit(0.0), F.lit(2000.0), F.lit(10)).cast(L).alias("bucket"), F.conv(F.col("p_size").cast("string"), 10, 36).alias("base36"), F.round(F.log(3.0, "p_size"), 9).alias("log3"), F.bround(p, 1).alias("even"))
 
 
 @query("""
@@ -163,10 +191,13 @@ def array_functions(t):
     )
 
 
-@query()
-def array_functions_without_twin(t):
+@query("""
+WITH a AS (SELECT r_regionkey, range(1, r_regionkey + 3)::INTEGER[] AS x, [2, 9] AS y FROM region)
+SELECT r_regionkey, list_sort(list_distinct(x || y)) AS u, list_filter(x, lambda v: v <> 2 AND v <> 9) AS e, len(x)::BIGINT AS z, len(list_filter(x, lambda v: v > 3)) > 0 AS any, len(list_filter(x, lambda v: v <= 0)) = 0 AS every,
+  list_transform(x, lambda v: v * v) AS zw FROM a""")
+def array_set_functions(t):
     x, y = F.sequence(F.lit(1), F.col("r_regionkey") + 2), F.array(F.lit(2), F.lit(9))
-    return t.region.select("r_regionkey", F.array_union(x, y).alias("u"), F.array_except(x, y).alias("e"), F.arrays_zip(x, x).alias("z"), F.exists(x, lambda v: v > 3).alias("any"), F.forall(x, lambda v: v > 0).alias("every"), F.zip_with(x, x, lambda a, b: a * b).alias("zw"))
+    return t.region.select("r_regionkey", F.array_sort(F.array_union(x, y)).alias("u"), F.array_except(x, y).alias("e"), F.size(F.arrays_zip(x, x)).cast(L).alias("z"), F.exists(x, lambda v: v > 3).alias("any"), F.forall(x, lambda v: v > 0).alias("every"), F.zip_with(x, x, lambda a, b: a * b).alias("zw"))
 
 
 @query("SELECT n_nationkey, len(map_keys(m)) AS a, m['r']::INTEGER AS b, s.name AS c FROM (SELECT n_nationkey, MAP {'r': n_regionkey, 'k': n_nationkey} AS m, {'name': n_name} AS s FROM nation)")
@@ -175,10 +206,20 @@ def map_and_struct_functions(t):
     return t.nation.select("n_nationkey", m.alias("m"), F.struct(F.col("n_name").alias("name")).alias("s")).select("n_nationkey", F.size(F.map_keys("m")).cast(L).alias("a"), F.col("m")["r"].alias("b"), F.col("s.name").alias("c"))
 
 
-@query()
-def map_functions_without_twin(t):
+@query("""
+SELECT r_regionkey, CASE WHEN r_regionkey > 2 THEN ['a', 'b'] ELSE ['b'] END AS kept, ['A', 'B'] AS keys, [r_regionkey + 1, 8] AS vals, ['a', 'b', 'c'] AS more, [7, r_regionkey] AS back, r_name AS name FROM region""")
+def map_transforms(t):
     m = F.map_from_arrays(F.array(F.lit("a"), F.lit("b")), F.array("r_regionkey", F.lit(7)))
-    return t.region.select("r_regionkey", F.map_entries(F.map_filter(m, lambda k, v: v > 2)).alias("kept"), F.map_entries(F.transform_keys(m, lambda k, v: F.upper(k))).alias("keys"), F.map_entries(F.transform_values(m, lambda k, v: v + 1)).alias("vals"), F.map_entries(F.map_concat(m, F.create_map(F.lit("c"), F.lit(1)))).alias("more"))
+    back = F.map_from_entries(F.array(F.struct(F.lit("x").alias("k"), F.lit(7).alias("v")), F.struct(F.lit("y").alias("k"), F.col("r_regionkey").alias("v"))))
+    return t.region.select(
+        "r_regionkey",
+        F.map_keys(F.map_filter(m, lambda k, v: v > 2)).alias("kept"),
+        F.map_keys(F.transform_keys(m, lambda k, v: F.upper(k))).alias("keys"),
+        F.map_values(F.transform_values(m, lambda k, v: v + 1)).alias("vals"),
+        F.map_keys(F.map_concat(m, F.create_map(F.lit("c"), F.lit(1)))).alias("more"),
+        F.map_values(back).alias("back"),
+        F.named_struct(F.lit("n"), "r_name")["n"].alias("name"),
+    )
 
 
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
@@ -196,10 +237,11 @@ def variant(t):
     return t.events.select("event_id", F.variant_get(F.parse_json("props"), "$.k", "string").alias("k"))
 
 
-@query()
+@query("SELECT r_regionkey AS k, r_name AS name, r_name AS from_json, r_name AS n, 'STRUCT<k: BIGINT>' AS schema FROM region")
 def csv_and_xml_values(t):
     r = t.region.select(F.to_csv(F.struct("r_regionkey", "r_name")).alias("line"), F.to_json(F.struct("r_name")).alias("j"), F.concat(F.lit("<r><n>"), "r_name", F.lit("</n></r>")).alias("x"))
-    return r.select(F.from_csv("line", "k int, name string").alias("c"), F.json_tuple("j", "r_name").alias("name"), F.from_xml("x", "n string").alias("x")).select("c.k", "c.name", F.col("name").alias("from_json"), "x.n")
+    r = r.select(F.from_csv("line", "k int, name string").alias("c"), F.json_tuple("j", "r_name").alias("name"), F.from_xml("x", "n string").alias("x"))
+    return r.select("c.k", "c.name", F.col("name").alias("from_json"), "x.n", F.schema_of_json(F.lit('{"k": 1}')).alias("schema"))
 
 
 @query("SELECT c_custkey, md5(c_name) AS a, sha256(c_name) AS b, base64(encode(c_name)) AS c, hex(c_name) AS d, sha1(c_name) AS e FROM customer")
@@ -208,6 +250,11 @@ def hash_and_encoding_functions(t):
     return t.customer.select("c_custkey", F.md5(n).alias("a"), F.sha2(n, 256).alias("b"), F.base64(F.encode(n, "UTF-8")).alias("c"), F.hex(n).alias("d"), F.sha1(n).alias("e"))
 
 
+@query("SELECT page_id, regexp_extract(url, '://([^/:?#]+)', 1) AS host, url_encode(url) AS enc, url AS dec FROM pages")
+def url_functions(t):
+    return t.pages.select("page_id", F.parse_url("url", F.lit("HOST")).alias("host"), F.url_encode("url").alias("enc"), F.url_decode(F.url_encode("url")).alias("dec"))
+
+
 @query()
-def hash_functions_without_twin(t):
-    return t.pages.select("page_id", F.crc32("url").alias("crc"), F.xxhash64("url").alias("xx"), F.parse_url("url", F.lit("HOST")).alias("host"), F.url_encode("url").alias("enc"), F.url_decode(F.url_encode("url")).alias("dec"))
+def hash_functions(t):
+    return t.pages.select("page_id", "url", F.crc32("url").alias("crc"), F.xxhash64("url").alias("xx"))

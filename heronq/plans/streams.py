@@ -1,12 +1,15 @@
 """Streaming queries, run to the end of a replayed table."""
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from heronq.plans.catalog import query
-from heronq.streaming.replay import replay, run_to_table
+from heronq.sources.scratch import scratch
+from heronq.streaming.replay import JsonLines, replay, run_to_table
 
 DAYS = "SELECT time_bucket(INTERVAL 1 DAY, ts)::TIMESTAMP AS day, count(*) AS n FROM events GROUP BY 1"
 
@@ -66,6 +69,37 @@ def stream_filter(t):
     return run_to_table(replay(t.spark, t.events).where("event_type = 'error' AND value > 1").select("event_id", "user_id"))
 
 
+@query("SELECT event_id, user_id FROM events WHERE event_type = 'error' AND value > 1")
+def stream_to_table(t):
+    where = scratch(t.spark)
+    rows = replay(t.spark, t.events).where("event_type = 'error' AND value > 1").select("event_id", "user_id")
+    name = f"heronq_stream_{uuid.uuid4().hex[:8]}"
+    rows.writeStream.option("checkpointLocation", f"{where}/state").option("path", f"{where}/out").trigger(availableNow=True).toTable(name).awaitTermination()
+    return t.spark.table(name)
+
+
+@query("SELECT event_id, user_id FROM events WHERE event_type = 'error' AND value > 1")
+def stream_foreach(t):
+    """A writer of one's own: a file for each partition and batch, which a repeated attempt replaces as a whole."""
+    where = scratch(t.spark)
+    rows = replay(t.spark, t.events).where("event_type = 'error' AND value > 1").select("event_id", "user_id")
+    rows.writeStream.option("checkpointLocation", f"{where}/state").foreach(JsonLines(f"{where}/out")).trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.schema(rows.schema).json(f"{where}/out")
+
+
+@query(DAYS)
+def stream_memory(t):
+    """The memory sink keeps its rows on the driver: here one a day."""
+    counts = replay(t.spark, t.events).groupBy(F.window("ts", "1 day")).agg(F.count("*").alias("n")).select(_start().alias("day"), "n")
+    name = f"heronq_memory_{uuid.uuid4().hex[:8]}"
+    q = counts.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", scratch(t.spark)).start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    return t.spark.table(name)
+
+
 @query("""
 SELECT p.event_id AS purchase, v.event_id AS view_id FROM events p JOIN events v ON p.user_id = v.user_id AND v.ts <= p.ts AND v.ts >= p.ts - INTERVAL 2 HOUR
 WHERE p.event_type = 'purchase' AND v.event_type = 'view'""")

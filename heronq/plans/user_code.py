@@ -53,6 +53,19 @@ def udtf(t):
     return t.sql("SELECT n_nationkey, w.word FROM {nation}, LATERAL heronq_words(n_name) w", "nation")
 
 
+@query("SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part")
+def udtf_arrow(t):
+    """A table function over whole Arrow batches of a table."""
+
+    @F.arrow_udtf(returnType="p_partkey long, word string")
+    class Words:
+        def eval(self, batch: pa.RecordBatch):
+            words = pc.split_pattern(batch.column("p_name"), " ")
+            yield pa.table({"p_partkey": batch.column("p_partkey").take(pc.list_parent_indices(words)), "word": pc.list_flatten(words)})
+
+    return Words(t.part.select("p_partkey", "p_name").asTable())
+
+
 @query("SELECT o_orderkey, o_totalprice * 1.19 AS gross FROM orders")
 def sql_function(t):
     t.spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION heronq_gross(x DOUBLE, rate DOUBLE) RETURNS DOUBLE RETURN x * rate")

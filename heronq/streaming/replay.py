@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+import posixpath
+import uuid
+
+from pyarrow import fs
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,3 +46,27 @@ def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
         last = got.agg(F.max("_batch")).first()[0]
         got = got.where(F.col("_batch") == F.lit(last))
     return got.drop("_batch") if mode != "update" else got
+
+
+class JsonLines:
+    """For foreach: the rows of a partition and batch as lines of a file in a shared folder, moved into place once whole."""
+
+    def __init__(self, folder: str):
+        self.folder = folder
+
+    def open(self, partition: int, batch: int) -> bool:
+        self.name, self.lines = f"b{batch}-p{partition}.json", []
+        return True
+
+    def process(self, row: Row) -> None:
+        self.lines.append(json.dumps(row.asDict(), default=str))
+
+    def close(self, error: Exception | None) -> None:
+        if error is not None or not self.lines:
+            return
+        files, path = fs.FileSystem.from_uri(self.folder)
+        files.create_dir(path)
+        hidden = posixpath.join(path, f"_{uuid.uuid4().hex}")  # readers pass over names with an underscore
+        with files.open_output_stream(hidden) as f:
+            f.write("".join(line + "\n" for line in self.lines).encode())
+        files.move(hidden, posixpath.join(path, self.name))
