@@ -22,6 +22,41 @@ def test_asof(spark, strict):
     assert asof_join(left.limit(0), right, ["k"], "ts", ["v"]).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz", "double"])
+@pytest.mark.parametrize("strict", [False, True])
+def test_asof_over_many_slices(spark, strict, kind):
+    """A hot key over slices of which some are empty on one side, ties, null times and a slice's edge, against a plain search."""
+    left = [(k, t) for k in ("a", "b", None) for t in (0, 9, 10, 11, 25, 47, 47, 95, None)]
+    right = [("a", 9, 1), ("a", 10, 2), ("a", 10, 3), ("a", 40, 4), ("a", None, 5), ("b", 96, 6), ("b", 20, None), (None, 0, 7)]
+
+    def table(rows, names):
+        df = spark.createDataFrame(rows, f"k string, s int{names}")
+        return df.withColumn("s", F.col("s").cast("double") if kind == "double" else F.timestamp_seconds("s").cast(kind))
+
+    got = asof_join(table(left, "").withColumn("id", F.col("s").cast("string")), table(right, ", v int"), ["k"], "s", ["v"], strict, width=10)
+
+    def match(k, t):
+        before = [(s, v if v is not None else -1) for key, s, v in right if key == k and k is not None and None not in (s, t) and (s < t if strict else s <= t)]
+        v = max(before)[1] if before else None
+        return None if v == -1 else v
+
+    ids = {r.s: r.id for r in table([(None, t) for _, t in left], "").withColumn("id", F.col("s").cast("string")).collect()}
+    by_id = {ids[r.s]: t for r, (_, t) in zip(table([(None, t) for _, t in left], "").collect(), left)}
+    assert sorted((str(r.k), str(by_id[r.id]), str(r.v)) for r in got.collect()) == sorted((str(k), str(t), str(match(k, t))) for k, t in left)
+
+
+def test_sessions_over_many_slices(spark):
+    times = [0, 5, 9, 10, 14, 31, 33, 60, 60, 95, 99, 104, 500]
+    df = spark.createDataFrame([(k, AT(t), t) for k in ("u", None) for t in times] + [("v", None, -1), ("v", AT(3), 3)], "k string, ts timestamp, slice int")
+    session, want = 0, []
+    for i, t in enumerate(times):
+        session += i == 0 or t - times[i - 1] > 10
+        want += [("None", t, session), ("u", t, session)]
+    want += [("v", -1, 1), ("v", 3, 2)]
+    for width in (7, 10, 86_400):
+        assert sorted((str(r.k), r.slice, r.session) for r in sessionize(df, "k", "ts", 10, width).collect()) == sorted(want)
+
+
 def test_range_join(spark):
     points = spark.createDataFrame([(i, float(x)) for i, x in enumerate([-7.5, -4, 0, 3.99, 4, 11, 12])] + [(99, None)], "id int, x double")
     spans = spark.createDataFrame([(0, -8.0, -4.0), (1, 0.0, 4.0), (2, 4.0, 4.0), (3, -100.0, 12.0), (4, None, 1.0), (5, -1e9, 1e9)], "sid int, lo double, hi double")
