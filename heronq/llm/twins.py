@@ -52,4 +52,13 @@ five AS (SELECT *, list_transform(range(4), lambda j: ('0x' || hex[10 * j + 1:10
 SELECT page_id, n::BIGINT AS payload_bytes,
   array_to_string(list_transform(range(32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[((v[i // 8 + 1] >> (35 - 5 * (i % 8))) & 31) + 1]), '') AS payload_digest,
   CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, nullif(first, page_id) AS refers_to FROM five""",
+    "op12_fill_in_middle": """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, ''))::BIGINT AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS x FROM documents),
+h AS (SELECT *, list_transform(range(4), lambda i: ('0x' || x[8 * i + 1:8 * i + 8])::BIGINT) AS h FROM d),
+c AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS lo, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS hi,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, substring(t, 1, lo) AS a, substring(t, lo + 1, hi - lo) AS b, substring(t, hi + 1) AS e FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN lo END AS prefix_chars, CASE WHEN form <> 'plain' THEN hi - lo END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || a || '<S>' || e || '<M>' || b ELSE '<S>' || e || '<P>' || a || '<M>' || b END) AS output_sha256,
+  sha256(t) AS restored_sha256 FROM p""",
 }
