@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heronq.llm import codec, embedding_dedup, fim, jaccard, nbsvm, ordinal, packing, quality_rules, substring_dedup, token_files, twins, warc
+from heronq.llm import bit_sliced, codec, embedding_dedup, fim, jaccard, nbsvm, ordinal, packing, quality_rules, substring_dedup, token_files, twins, warc
 from heronq.llm.common import table
 
 
@@ -78,6 +78,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_bit_sliced_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bit_sliced.top_k(table(spark, sf_dir, "embeddings"), k=20, scale=64.0, is_query=F.col("vec_id") % 20 == 0)
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = fim.fill_in_middle(table(spark, sf_dir, "documents"), seed=1, rate=90, spm=20)
     kept = got.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output", fim.restored(F.col("output"), F.col("form")).alias("restored"))
@@ -85,7 +89,7 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_jaccard_join, op2_token_files, op3_quality_rules, op4_substring_dedup, op5_quality_classifier, op6_toxicity, op7_packing, op8_embedding_dedup, op9_bpe_codec, op10_warc, op12_fill_in_middle)}
+    return {f.__name__: f for f in (op1_jaccard_join, op2_token_files, op3_quality_rules, op4_substring_dedup, op5_quality_classifier, op6_toxicity, op7_packing, op8_embedding_dedup, op9_bpe_codec, op10_warc, op11_bit_sliced_search, op12_fill_in_middle)}
 
 
 def oracle_sql() -> dict[str, str]:

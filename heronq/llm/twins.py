@@ -52,6 +52,13 @@ five AS (SELECT *, list_transform(range(4), lambda j: ('0x' || hex[10 * j + 1:10
 SELECT page_id, n::BIGINT AS payload_bytes,
   array_to_string(list_transform(range(32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[((v[i // 8 + 1] >> (35 - 5 * (i % 8))) & 31) + 1]), '') AS payload_digest,
   CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, nullif(first, page_id) AS refers_to FROM five""",
+    "op11_bit_sliced_search": """
+WITH v AS (SELECT vec_id, len(embedding) AS dim, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS c FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT a.vec_id AS query_id, b.vec_id, coalesce(list_sum(list_transform(range(1, a.dim + 1), lambda i: a.c[i] * b.c[i])), 0)::BIGINT AS score
+  FROM v a JOIN v b ON a.dim = b.dim AND a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM p
+QUALIFY rank <= 20""",
     "op12_fill_in_middle": """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, ''))::BIGINT AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS x FROM documents),
 h AS (SELECT *, list_transform(range(4), lambda i: ('0x' || x[8 * i + 1:8 * i + 8])::BIGINT) AS h FROM d),

@@ -9,7 +9,7 @@ from heronq.llm.queries import oracle_sql, queries
 from tests.llm.cases import odd_documents
 
 TABLES = ("documents", "embeddings", "pages")
-KINDS = {"BIGINT": "bigint", "VARCHAR": "string", "BOOLEAN": "boolean"}
+KINDS = {"BIGINT": "bigint", "INTEGER": "int", "VARCHAR": "string", "BOOLEAN": "boolean"}
 
 
 @pytest.fixture(scope="module")
