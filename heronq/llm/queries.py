@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heronq.llm import bit_sliced, codec, embedding_dedup, fim, jaccard, nbsvm, ordinal, packing, quality_rules, substring_dedup, token_files, twins, warc
+from heronq.llm import bit_sliced, codec, embedding_dedup, fim, jaccard, nbsvm, ordinal, packing, quality_rules, spelling, substring_dedup, token_files, twins, warc
 from heronq.llm.common import table
 
 
@@ -88,8 +88,12 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"), slips=97, least_chars=5, least_count=3, times=2)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_jaccard_join, op2_token_files, op3_quality_rules, op4_substring_dedup, op5_quality_classifier, op6_toxicity, op7_packing, op8_embedding_dedup, op9_bpe_codec, op10_warc, op11_bit_sliced_search, op12_fill_in_middle)}
+    return {f.__name__: f for f in (op1_jaccard_join, op2_token_files, op3_quality_rules, op4_substring_dedup, op5_quality_classifier, op6_toxicity, op7_packing, op8_embedding_dedup, op9_bpe_codec, op10_warc, op11_bit_sliced_search, op12_fill_in_middle, op13_spelling_variants)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -14,6 +14,18 @@ _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvw
 _REACH = """ends AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
 reach(node, root) AS (SELECT DISTINCT x, x FROM ends UNION SELECT b.y, r.root FROM reach r JOIN ends b ON b.x = r.node)"""
 
+
+
+def _nibble(c: int) -> int:
+    for _ in range(4):
+        c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+    return c
+
+
+#: crc32 of a string, four bits at a time, low ones of each byte first.
+_CRC32 = f"""xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(2 * octet_length(encode({{0}}))), lambda i: (instr('0123456789ABCDEF', hex(encode({{0}}))[xor(i, 1) + 1]) - 1)::BIGINT)),
+  lambda c, d: xor(c >> 4, {[_nibble(i) for i in range(16)]}[(xor(c, d) & 15) + 1])), 4294967295)"""
+
 ORACLES = {
     "op1_jaccard_join": f"""
 WITH RECURSIVE split AS (SELECT doc_id, coalesce({_WORDS.format(_LOWER)}, []) AS w FROM documents),
@@ -68,4 +80,17 @@ p AS (SELECT *, substring(t, 1, lo) AS a, substring(t, lo + 1, hi - lo) AS b, su
 SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN lo END AS prefix_chars, CASE WHEN form <> 'plain' THEN hi - lo END AS middle_chars,
   sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || a || '<S>' || e || '<M>' || b ELSE '<S>' || e || '<P>' || a || '<M>' || b END) AS output_sha256,
   sha256(t) AS restored_sha256 FROM p""",
+    "op13_spelling_variants": f"""
+WITH RECURSIVE runs AS (SELECT coalesce(doc_id::VARCHAR, '') AS d, unnest(regexp_extract_all({_LOWER}, '[A-Za-zÀ-ÿ]+')) AS r FROM documents),
+hashed AS (SELECT r, n, {_CRC32.format("d || ':' || r")} AS h FROM (SELECT d, r, count(*) AS n FROM runs GROUP BY d, r)),
+slipped AS (SELECT n, CASE WHEN h % 97 = 0 THEN substring(r, 1, h % length(r)) || substring(r, h % length(r) + 2) ELSE r END AS word FROM hashed),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM slipped WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+gaps AS (SELECT word, n, substring(word, 1, i) AS a, substring(word, i + 2) AS b FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)),
+less AS (SELECT DISTINCT g.word AS w1, w.word AS w0, g.n AS n1, w.n AS n0 FROM gaps g JOIN words w ON w.word = g.a || g.b),
+near AS (SELECT x.word, y.word AS other, y.n AS other_n FROM gaps x JOIN gaps y ON x.a = y.a AND x.b = y.b AND x.word <> y.word
+  UNION ALL SELECT w1, w0, n0 FROM less UNION ALL SELECT w0, w1, n1 FROM less),
+best AS (SELECT word, other, other_n, count(*) OVER (PARTITION BY word) AS n_near FROM near QUALIFY row_number() OVER (PARTITION BY word ORDER BY other_n DESC, other) = 1),
+known AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 2 * n THEN other END AS form, CASE WHEN other_n >= 2 * n THEN other_n END AS form_n FROM words LEFT JOIN best USING (word)),
+reach(word, leaf) AS (SELECT word, word FROM known UNION ALL SELECT r.word, k.form FROM reach r JOIN known k ON k.word = r.leaf WHERE k.form IS NOT NULL)
+SELECT k.word, k.form, r.leaf AS root, k.n, k.n_near, k.form_n FROM known k JOIN reach r ON r.word = k.word JOIN known e ON e.word = r.leaf AND e.form IS NULL""",
 }
