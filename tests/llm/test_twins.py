@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 from heronq.llm.queries import oracle_sql, queries
-from tests.llm.cases import odd_documents
+from tests.llm.cases import ODD_TEXTS, odd_documents
 
 TABLES = ("documents", "embeddings", "pages")
 KINDS = {"BIGINT": "bigint", "INTEGER": "int", "VARCHAR": "string", "BOOLEAN": "boolean"}
@@ -18,7 +18,8 @@ def odd_dir(spark, tmp_path_factory):
     nan, inf = float("nan"), float("inf")
     vectors = [None, [], [0.0, 0.0], [nan, 1.0], [1.0, inf], [None, 1.0], [1.0, 0.0], [2.0, 0.0], [1.0, 0.3], [1.0, 0.9], [-1.0, 0.0], [1.0, 0.0, 0.0], [1.0, 0.0]]
     pages = [None, "", "a", "b", "a", "", "é" * 3000, "é" * 3000, "WARC/1.0\r\n\r\n", None]
-    odd_documents(spark).coalesce(1).write.parquet(f"{where}/documents.parquet")
+    texts = [*ODD_TEXTS, *["Wording wordings, wordin×g’wording ÀPROPOS àpropos WORDING word\x01ing <S> <P"] * 4, "wording " * 40]
+    odd_documents(spark, texts).coalesce(1).write.parquet(f"{where}/documents.parquet")
     spark.createDataFrame([(i * 2, v, 0) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{where}/embeddings.parquet")
     spark.createDataFrame([(i * 5, f"http://a/{i}", h) for i, h in enumerate(pages)], "page_id long, url string, html string").coalesce(1).write.parquet(f"{where}/pages.parquet")
     return str(where)
