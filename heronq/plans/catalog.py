@@ -36,4 +36,4 @@ class Tables:
         return self.spark.sql(text, **{n: getattr(self, n) for n in names})
 
 
-from heronq.plans import joins, relational, scalars, sinks, streams, user_code  # noqa: E402,F401
+from heronq.plans import corpus, joins, relational, scalars, sinks, streams, user_code  # noqa: E402,F401

@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession) -> str:
@@ -18,3 +18,10 @@ def scratch(spark: SparkSession) -> str:
         root = "file://" + tempfile.mkdtemp(prefix="heronq-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/scratch-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame, name: str = "table") -> DataFrame:
+    """Writes df as Parquet to the shared folder and reads it back: cuts lineage, survives lost executors."""
+    path = f"{scratch(df.sparkSession)}/{name}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
