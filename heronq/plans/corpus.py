@@ -1,5 +1,6 @@
 """Queries over documents, benchmark items, conversations and vectors."""
 
+from heronq.operators.minhash import near_duplicates
 from heronq.operators.overlap import coverage_of_items, overlap_of_documents
 from heronq.plans.catalog import query
 
@@ -28,3 +29,22 @@ SELECT item_id, coalesce(n_runs, 0) AS n_runs, coalesce(n_found, 0) AS n_found,
 """)
 def benchmark_coverage(t):
     return coverage_of_items(t.documents, t.benchmark, n=8)
+
+
+@query(f"""
+WITH RECURSIVE split AS (SELECT doc_id, coalesce(regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i, len(w) AS n FROM split),
+grams AS (SELECT doc_id, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS g FROM words QUALIFY i <= greatest(n - 5, 0)),
+sets AS (SELECT doc_id, coalesce(list_sort(list(DISTINCT g) FILTER (g IS NOT NULL)), []) AS s FROM documents LEFT JOIN grams USING (doc_id) GROUP BY doc_id),
+classes AS (SELECT min(doc_id) AS rep, s, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY s),
+tokens AS (SELECT rep, n, unnest(s) AS g FROM classes),
+links AS (SELECT a.rep AS x, b.rep AS y FROM tokens a JOIN tokens b ON a.g = b.g AND a.rep < b.rep AND 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n
+  GROUP BY a.rep, b.rep HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))),
+ends AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(node, root) AS (SELECT DISTINCT x, x FROM ends UNION SELECT b.y, r.root FROM reach r JOIN ends b ON b.x = r.node),
+least AS (SELECT node, min(root) AS component FROM reach GROUP BY node)
+SELECT doc_id, len(sets.s)::BIGINT AS n_shingles, coalesce(rep, doc_id) AS class_id, coalesce(component, rep, doc_id) AS component_id
+FROM sets LEFT JOIN classes ON sets.s = classes.s LEFT JOIN least ON node = rep
+""")
+def minhash_near_duplicates(t):
+    return near_duplicates(t.documents, n=5, percent=80, bands=16, rows=4)
