@@ -86,7 +86,9 @@ def overlap_of_documents(docs: DataFrame, items: DataFrame, n: int = 8, max_byte
     """(doc_id, n_runs, n_hits, hit_share): of each document, its runs and how many of them some item has."""
     index = run_index(items, n)
     known = index.where("run is not null").select("run").distinct().withColumn("hit", F.lit(1))
-    found = found_runs(docs, index, n, max_bytes).join(known, "run", "left")
+    # a document without runs keeps a row, under a key that no run has and no other row
+    found = found_runs(docs, index, n, max_bytes).withColumn("run", F.coalesce("run", F.concat(F.lit(" "), "doc_row")))
+    found = found.join(known, "run", "left")
     sums = found.groupBy("doc_row").agg(F.first("doc_id").alias("doc_id"), F.first("n_runs").alias("n_runs"), F.count("hit").alias("n_hits"))
     return sums.select("doc_id", "n_runs", "n_hits", F.when(F.col("n_runs") > 0, F.col("n_hits") / F.col("n_runs")).alias("hit_share"))
 
