@@ -1,5 +1,6 @@
 """Queries over documents, benchmark items, conversations and vectors."""
 
+from heronq.operators.dialogue import conversation_report, transcripts
 from heronq.operators.minhash import near_duplicates
 from heronq.operators.overlap import coverage_of_items, overlap_of_documents
 from heronq.plans.catalog import query
@@ -48,3 +49,34 @@ FROM sets LEFT JOIN classes ON sets.s = classes.s LEFT JOIN least ON node = rep
 """)
 def minhash_near_duplicates(t):
     return near_duplicates(t.documents, n=5, percent=80, bands=16, rows=4)
+
+
+#: Turns in order with flags: a letter for each turn so far, x where it was left out.
+_DIALOGUE = """WITH turns AS (SELECT conv_id, CASE WHEN turn >= 0 THEN turn END AS turn, role, text FROM conversations),
+first AS (SELECT conv_id, turn, role, text, count(*) OVER (PARTITION BY conv_id, turn) AS n FROM turns QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY role NULLS LAST, text NULLS LAST) = 1),
+known AS (SELECT conv_id, list(turn ORDER BY turn) AS ats, list(coalesce(role, '') ORDER BY turn) AS roles, list(coalesce(text, '') ORDER BY turn) AS texts FROM first WHERE turn IS NOT NULL GROUP BY conv_id),
+flags AS (SELECT *, list_reduce(list_prepend('-', roles), lambda a, r: a || CASE right(regexp_replace(a, 'x+$', ''), 1) || r
+  WHEN '-system' THEN 's' WHEN '-user' THEN 'u' WHEN 'suser' THEN 'u' WHEN 'uassistant' THEN 'a' WHEN 'auser' THEN 'u' ELSE 'x' END) AS f FROM known),
+ends AS (SELECT *, len(replace(f, 'x', '')) - 1 AS kept, right(regexp_replace(f, 'x+$', ''), 1) AS last FROM flags)"""
+
+
+@query(f"""
+{_DIALOGUE},
+sums AS (SELECT conv_id, sum(n)::BIGINT AS n_rows, count(turn) AS n_turns, coalesce(max(turn) + 1, 0) - count(turn) AS n_missing,
+  coalesce(sum(n - 1) FILTER (turn IS NOT NULL), 0)::BIGINT AS n_repeated, coalesce(sum(n) FILTER (turn IS NULL), 0)::BIGINT AS n_stray FROM first GROUP BY conv_id),
+got AS (SELECT s.*, coalesce(n_turns - kept, 0)::BIGINT AS n_out_of_role, CASE last WHEN 's' THEN 'system' WHEN 'u' THEN 'user' WHEN 'a' THEN 'assistant' END AS last_role
+  FROM sums s LEFT JOIN ends e ON s.conv_id IS NOT DISTINCT FROM e.conv_id)
+SELECT *, n_missing + n_repeated + n_stray + n_out_of_role = 0 AND coalesce(last_role = 'assistant', false) AS complete FROM got
+""")
+def conversation_assembly(t):
+    return conversation_report(t.conversations)
+
+
+@query(f"""
+{_DIALOGUE},
+said AS (SELECT conv_id, unnest(ats) AS turn, unnest(roles) AS role, unnest(texts) AS text, unnest(string_split(f[2:], '')) AS flag FROM flags)
+SELECT conv_id, turn // 512 AS part, min(turn) AS first_turn, count_if(flag <> 'x')::BIGINT AS n_kept, count_if(flag = 'x')::BIGINT AS n_left_out,
+  coalesce(string_agg('<|' || role || '|>' || text, chr(10) ORDER BY turn) FILTER (flag <> 'x'), '') AS transcript FROM said GROUP BY conv_id, turn // 512
+""")
+def conversation_transcripts(t):
+    return transcripts(t.conversations)
