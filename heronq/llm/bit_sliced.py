@@ -22,7 +22,6 @@ query by the default predicate; as a candidate it ranks after all ids of its sco
 from __future__ import annotations
 
 import heapq
-import io
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heronq.llm.common import arrow_map, batch, settle, shared_dir
-from heronq.llm.storage import attempt_path, open_in, open_out
+from heronq.llm.storage import read_arrays, write_arrays
 
 #: Components in a block (its rows times their length), about.
 BLOCK_CELLS = 1 << 21
@@ -67,19 +66,6 @@ def matrix(codes: pa.ChunkedArray, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(codes.to_pylist()), "<i4").reshape(len(codes), dim).astype(np.int64)
 
 
-def write_arrays(folder: str, stem: str, **arrays) -> str:
-    buffer, path = io.BytesIO(), attempt_path(folder, stem, ".npz")
-    np.savez(buffer, **arrays)
-    with open_out(path) as f:
-        f.write(buffer.getvalue())
-    return path
-
-
-def read_arrays(path: str) -> dict[str, np.ndarray]:
-    with open_in(path) as f:
-        return dict(np.load(io.BytesIO(f.read()), allow_pickle=False))
-
-
 def slice_block(x: np.ndarray) -> dict[str, np.ndarray]:
     """Integers (rows, components) -> least of each component, where its slices begin, and all slices, as words of 64 rows."""
     low = x.min(axis=0) if len(x) else np.zeros(x.shape[1], np.int64)

@@ -1,7 +1,7 @@
 """Embedding near-dedup: int8 quantised tile products with rigorous error bounds.
 
-Equal vectors are first folded into one with a weight. The rest is dealt into tiles by hash, and each
-pair of tiles is one task. A unit vector u is quantised as s*q with int8 q, and its error
+Equal vectors are first folded into a class with a weight and a number of its own. The classes are dealt into tiles by hash,
+a tile is a file in the shared folder, and each pair of tiles is one task, which reads its two files; vectors are shuffled once. A unit vector u is quantised as s*q with int8 q, and its error
 e = |u - s*q| is measured, so |u.v - s*t*(q.r)| <= e_u (|t*r| + e_v) + |s*q| e_v for any v = t*r + error.
 Products of int8 codes are exact in float32 arithmetic. Pairs whose upper bound is below the threshold
 are done; pairs whose lower bound reaches it are links; only those between are recomputed in
@@ -12,7 +12,8 @@ an exact answer at any cosine costs. Memory of a task is bounded by TILE.
 
 Defined results: null, empty and zero vectors and those with null or non-finite components link with
 nothing; vectors of different lengths never link; rows with equal vec_ids count as vectors of their
-own; labels and other columns are ignored; an empty table gives no rows.
+own, equal in vector or not; rows with null vec_ids take part, but a null names a component only where all its ids are null;
+labels and other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,14 +23,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heronq.llm.common import arrow_map, batch, settle
+from heronq.llm.common import arrow_map, batch, settle, shared_dir
 from heronq.llm.components import connected_components
+from heronq.llm.storage import read_arrays, write_arrays
 
 TILE = 4096
 #: Rows of a tile multiplied at once.
 STRIP = 512
 #: Pairs recomputed at once.
 EXACT = 1 << 15
+#: Tasks at most; beyond that a task compares several pairs of tiles.
+MOST_TASKS = 100_000
 #: Room for rounding in double precision.
 SLACK = 1e-12
 
@@ -133,47 +137,74 @@ def clean_vectors(embeddings: DataFrame, column: str) -> DataFrame:
     return arrow_map(embeddings.select("vec_id", column), run, "vec_id long, vector binary")
 
 
+_TILE = pa.schema([("t", pa.int64()), ("path", pa.string())])
 _FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
 
 
+def write_tiles(classes: DataFrame, tiles: int) -> DataFrame:
+    """(t, path): the classes dealt into files of about equal numbers, in the shared folder."""
+    folder = shared_dir(classes.sparkSession)
+
+    def write(table: pa.Table) -> pa.Table:
+        t, raw = table["t"][0].as_py(), table["vector"].to_pylist()
+        size = np.array([len(v) // 8 for v in raw])
+        path = write_arrays(folder, f"tile-{t}", node=table["node"].to_numpy(), w=table["w"].to_numpy(), size=size, data=np.frombuffer(b"".join(raw), "<f8"))
+        return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(([t], [path]), _TILE)], schema=_TILE)
+
+    t = F.pmod(F.xxhash64("node", F.lit(11)), F.lit(tiles)).cast("long")
+    return settle(classes.select(t.alias("t"), "node", "w", "vector").groupBy("t").applyInArrow(write, "t long, path string"), "tiles")
+
+
+def of_length(tile: dict[str, np.ndarray], dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes, weights and vectors of a tile's classes of this length."""
+    at = tile["size"] == dim
+    cells = np.repeat(at, tile["size"])
+    return tile["node"][at], tile["w"][at], tile["data"][cells].reshape(-1, dim)
+
+
+def compare(left: dict[str, np.ndarray], right: dict[str, np.ndarray], threshold: float, same: bool) -> pa.RecordBatch:
+    """Sums of links (a, null, n) of both tiles' nodes, and edges (a, b, 0) of a forest that spans what is linked."""
+    a, b, n = [], [], []
+    for dim in np.intersect1d(left["size"], right["size"]):
+        mine, wx, x = of_length(left, dim)
+        theirs, wy, y = (mine, wx, x) if same else of_length(right, dim)
+        cx, cy, root = tile_links(x, wx, y, wy, threshold, same)
+        nodes = mine if same else np.concatenate([mine, theirs])
+        for ids, c in ((mine, cx), (theirs, cy)):
+            a += ids[c > 0].tolist()
+            n += c[c > 0].tolist()
+        b += [None] * (len(a) - len(b))
+        moved = np.flatnonzero(root != np.arange(len(root)))
+        a += nodes[moved].tolist()
+        b += nodes[root[moved]].tolist()
+        n += [0] * len(moved)
+    return batch(_FOUND, a, b, n)
+
+
 def near_duplicates(embeddings: DataFrame, threshold: float = 0.9, column: str = "embedding", tile: int = TILE) -> DataFrame:
     """(vec_id, embedding) -> (vec_id, n_links, component_id, kept), one row a vector."""
     vectors = settle(clean_vectors(embeddings, column).withColumn("name", F.md5("vector")), "vectors")
-    classes = settle(vectors.where("vector is not null").groupBy("name").agg(F.min("vec_id").alias("rep"), F.count("*").alias("w"), F.first("vector").alias("vector")), "classes")
+    classes = vectors.where("vector is not null").groupBy("name").agg(F.min("vec_id").alias("rep"), F.count("*").alias("w"), F.first("vector").alias("vector"))
+    classes = settle(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     tiles = max(1, -(-classes.count() // tile))
+    files = write_tiles(classes, tiles)
+    pairs = files.select(F.col("t").alias("i"), F.col("path").alias("left"), F.explode(F.sequence("t", F.lit(tiles - 1).cast("long"))).alias("t")).join(files, "t")
+    pairs = settle(pairs.select("i", F.col("t").alias("j"), "left", F.col("path").alias("right")), "pairs")
 
-    def compare(table: pa.Table) -> pa.Table:
-        i, j = table["i"][0].as_py(), table["j"][0].as_py()
-        mine = table["t"].to_numpy()
-        reps, weights = table["rep"].to_numpy(), table["w"].to_numpy()
-        raw = table["vector"].to_pylist()
-        size = np.array([len(v) // 8 for v in raw])
-        a, b, n = [], [], []
-        for dim in np.unique(size):
-            left, right = np.flatnonzero((mine == i) & (size == dim)), np.flatnonzero((mine == j) & (size == dim))
-            if not len(left) or not len(right):
-                continue
-            x, y = (np.frombuffer(b"".join(raw[k] for k in at), "<f8").reshape(len(at), dim) for at in (left, right))
-            cx, cy, root = tile_links(x, weights[left], y, weights[right], threshold, i == j)
-            nodes = reps[left] if i == j else np.concatenate([reps[left], reps[right]])
-            for ids, c in ((reps[left], cx), (reps[right], cy)):
-                a += ids[c > 0].tolist()
-                n += c[c > 0].tolist()
-            b += [None] * (len(a) - len(b))
-            moved = np.flatnonzero(root != np.arange(len(root)))
-            a += nodes[moved].tolist()
-            b += nodes[root[moved]].tolist()
-            n += [0] * len(moved)
-        return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], schema=_FOUND)
-
-    t = F.pmod(F.xxhash64("rep", F.lit(11)), F.lit(tiles)).cast("int")
-    dealt = classes.withColumn("t", t).withColumn("u", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
-    dealt = dealt.select(F.least("t", "u").alias("i"), F.greatest("t", "u").alias("j"), "t", "rep", "w", "vector")
-    found = settle(dealt.groupBy("i", "j").applyInArrow(compare, "a long, b long, n long"), "found")
-    links = found.where("n > 0").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
-    components = connected_components(found.where("n = 0").select("a", "b")).withColumnRenamed("node", "rep")
-    known = classes.select("name", "rep", "w").join(links, "rep", "left").join(components, "rep", "left")
-    known = known.select("name", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
-    got = vectors.select("vec_id", "name").join(known, "name", "left")
+    def run(batches):
+        for found in batches:
+            for left, right in zip(found.column(0).to_pylist(), found.column(1).to_pylist()):
+                one = read_arrays(left)
+                yield compare(one, one if left == right else read_arrays(right), threshold, left == right)
+
+    tasks = pairs.repartitionByRange(max(1, min(pairs.count(), MOST_TASKS)), "i", "j").select("left", "right")
+    found = settle(arrow_map(tasks, run, "a long, b long, n long"), "found")
+    links = found.where("n > 0").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
+    roots = connected_components(found.where("n = 0").select("a", "b")).withColumnRenamed("component", "root")
+    known = classes.select("name", "node", "rep", "w").join(links, "node", "left").join(roots, "node", "left")
+    known = settle(known.select("name", "rep", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("root", "node").alias("root")), "known")
+    least = settle(known.groupBy("root").agg(F.min("rep").alias("component")), "names")
+    named = known.join(least, "root").select("name", "n_links", "component")
+    got = vectors.select("vec_id", "name").join(settle(named, "named"), "name", "left")
     component = F.coalesce("component", "vec_id")
     return got.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import io
 import uuid
 
+import numpy as np
 from pyarrow import fs
 
 
@@ -36,3 +38,16 @@ def read_range(uri: str, start: int, length: int) -> bytes:
 def remove(uri: str) -> None:
     where, path = filesystem(uri)
     where.delete_file(path)
+
+
+def write_arrays(folder: str, stem: str, **arrays) -> str:
+    buffer, path = io.BytesIO(), attempt_path(folder, stem, ".npz")
+    np.savez(buffer, **arrays)
+    with open_out(path) as f:
+        f.write(buffer.getvalue())
+    return path
+
+
+def read_arrays(path: str) -> dict[str, np.ndarray]:
+    with open_in(path) as f:
+        return dict(np.load(io.BytesIO(f.read()), allow_pickle=False))

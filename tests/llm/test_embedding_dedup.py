@@ -26,15 +26,15 @@ def brute(vectors, threshold):
                 group.add(j)
                 todo.append(j)
         seen |= group
-        least = min(vectors[g][0] for g in group)
+        least = min((vectors[g][0] for g in group if vectors[g][0] is not None), default=vectors[k][0])
         out += [(vectors[g][0], len(links[g]), least) for g in group]
-    return sorted(out)
+    return sorted(out, key=str)
 
 
 def rows(df):
     got = df.collect()
     assert all(r.kept == (r.vec_id == r.component_id) for r in got)
-    return sorted((r.vec_id, r.n_links, r.component_id) for r in got)
+    return sorted(((r.vec_id, r.n_links, r.component_id) for r in got), key=str)
 
 
 @pytest.mark.parametrize("dim", [1, 3, 64, 1500])
@@ -62,6 +62,15 @@ def test_tiles_against_brute_force(spark):
     assert E.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_equal_and_null_ids(spark):
+    """Rows are told apart whatever their ids; ids beyond 2^53 stay exact."""
+    vectors = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.1]), (None, [1.0, 0.05]), (None, [-1.0, 0.0]), (None, [-1.0, 0.01]), (None, None), (3, None), (None, [0.5, 0.5])]
+    vectors += [((1 << 60) + 1, [0.0, -1.0, 0.0]), ((1 << 60) + 3, [0.0, -1.0, 0.01]), (1, [0.0, 1.0]), (7, [0.0, 1.0])]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    for tile in (2, 4096):
+        assert rows(E.near_duplicates(df, 0.9, tile=tile)) == brute(vectors, 0.9)
+
+
 def test_op8_query(spark, sf_dir):
     vectors = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()]
     assert rows(queries.op8_embedding_dedup(spark, sf_dir)) == brute(vectors, 0.9)
