@@ -1,8 +1,11 @@
 """Queries over documents, benchmark items, conversations and vectors."""
 
+from pyspark.sql import functions as F
+
 from heronq.operators.dialogue import conversation_report, transcripts
 from heronq.operators.minhash import near_duplicates
 from heronq.operators.overlap import coverage_of_items, overlap_of_documents
+from heronq.operators.redaction import ADDRESS, CARD, EMAIL, IBAN, LICENCE, LICENCES, SECRET, SECRET_DIGITS, SECRET_ENTROPY, personal_data
 from heronq.plans.catalog import query
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -80,3 +83,38 @@ SELECT conv_id, turn // 512 AS part, min(turn) AS first_turn, count_if(flag <> '
 """)
 def conversation_transcripts(t):
     return transcripts(t.conversations)
+
+
+def _marks(before: str, after: str, kind: str, pattern: str, valid: str) -> str:
+    """One detector: found, then marks for what is valid, then the text put together."""
+    return f"""{after}_f AS (SELECT *, regexp_extract_all(r, '{pattern}') AS f FROM {before}),
+{after}_m AS (SELECT * EXCLUDE (f), list_transform(f, lambda m: CASE WHEN {valid} THEN '[{kind.upper()}]' END) AS k, f FROM {after}_f),
+{after} AS (SELECT * EXCLUDE (f, k, r), len(list_filter(k, lambda x: x IS NOT NULL))::BIGINT AS n_{kind},
+  array_to_string(list_transform(list_zip(string_split_regex(r, '{pattern}'), list_transform(list_zip(f, k), lambda x: coalesce(x[2], x[1]))), lambda x: x[1] || coalesce(x[2], '')), '') AS r FROM {after}_m)"""
+
+
+_DIGITS = "regexp_replace(m, '[ -]', '', 'g')"
+_PLAIN = "replace(m, ' ', '')"
+_VALID = {
+    "email": r"length(m) <= 254 AND NOT contains(m, '..') AND NOT regexp_matches(m, '^\.|\.@|@-|-\.') AND regexp_matches(m, '\.[A-Za-z]{2,}$')",
+    "address": "len(list_filter(string_split(m, '.'), lambda o: o::INTEGER > 255 OR (o[1] = '0' AND o <> '0'))) = 0",
+    "card": f"""length({_DIGITS}) BETWEEN 13 AND 19 AND len(list_distinct(string_split({_DIGITS}, ''))) > 1
+    AND list_sum(list_transform(range(length({_DIGITS})), lambda i: CASE WHEN i % 2 = 0 THEN reverse({_DIGITS})[i + 1]::INTEGER ELSE 2 * reverse({_DIGITS})[i + 1]::INTEGER - CASE WHEN reverse({_DIGITS})[i + 1]::INTEGER > 4 THEN 9 ELSE 0 END END)) % 10 = 0""",
+    "iban": f"""length({_PLAIN}) BETWEEN 15 AND 34
+    AND list_reduce(list_prepend(0, list_transform(string_split({_PLAIN}[5:] || {_PLAIN}[:4], ''), lambda c: CASE WHEN c >= 'A' THEN ascii(c) - 55 ELSE ascii(c) - 48 END)), lambda a, v: (a * CASE WHEN v > 9 THEN 100 ELSE 10 END + v) % 97) = 1""",
+    "secret": f"length(m) - length(regexp_replace(m, '[0-9]', '', 'g')) >= {SECRET_DIGITS} AND regexp_matches(m, '[A-Za-z]') AND list_aggregate(string_split(m, ''), 'entropy') >= {SECRET_ENTROPY}",
+}
+_PATTERNS = {"email": EMAIL, "address": ADDRESS, "card": CARD, "iban": IBAN, "secret": SECRET}
+_KIND = " ".join(f"WHEN len(list_filter(l, lambda x: regexp_matches(x, '{p}'))) > 0 THEN '{name}'" for name, p in LICENCES)
+
+
+@query(
+    "WITH t0 AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(text, '') AS r FROM documents),\n"
+    + ",\n".join(_marks(f"t{i}", f"t{i + 1}", kind, _PATTERNS[kind], _VALID[kind]) for i, kind in enumerate(_PATTERNS))
+    + f""",
+lines AS (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{LICENCE}')) AS l FROM t{len(_PATTERNS)})
+SELECT doc_id, n_email, n_address, n_card, n_iban, n_secret, len(l)::BIGINT AS n_licence, CASE {_KIND} WHEN len(l) > 0 THEN 'other' END AS licence, sha256(r) AS redacted_sha256 FROM lines"""
+)
+def personal_data_redaction(t):
+    got = personal_data(t.documents)
+    return got.select(*[c for c in got.columns if c != "redacted"], F.sha2("redacted", 256).alias("redacted_sha256"))
