@@ -14,7 +14,8 @@ def lower_ascii(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """All words of a text in order; none of a null text."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, "[\\x20\\x09-\\x0D]+"))
 
 
 def run_hashes(words: Column, hashes: Column, n: int) -> Column:

@@ -3,10 +3,10 @@
 A document's set is that of the hashes of its runs of words. Equal sets are one class. A class' signature is the least value of
 its set under each of rows * bands hash functions, one aggregate over the set's members; classes that agree in all rows of a
 band are candidates, and the intersection of both sets decides. Classes with similarity s meet with probability
-1 - (1 - s^rows)^bands: 0.9998 at 0.8 with 16 bands of 4 rows.
+1 - (1 - s^rows)^bands: 0.992 at 0.8 with 16 bands of 6 rows.
 
-A band's group is never spread into all its pairs at first: all of its members meet its least one (the hub), the links
-found make components, and the next round is held among members of different components. When the pairs across components
+A band's group is never spread into all its pairs at first: in each round a class outside the largest component of a group
+meets one member of that component (the hub), and the links found make components anew. When the pairs across components
 that are left are few, or a round links nothing, all of them are compared, so no candidate is dropped.
 
 Defined results: words are compared with A-Z in lower case; a text with fewer words than a run has them all as its one
@@ -21,10 +21,13 @@ from pyspark.sql import functions as F
 
 from heronq.functions.text import lower_ascii, run_hashes, words
 from heronq.operators.graph import components
+from heronq.operators.overlap import bloom_filter, may_hold
 from heronq.sources.scratch import settled
 
 #: Rounds of hubs at most, and pairs across components a class at which the rest is compared at once.
-HUB_ROUNDS, FEW_PAIRS = 6, 8
+HUB_ROUNDS, FEW_PAIRS = 8, 1
+#: Greatest size of the filter of rows whose sets are compared.
+MAX_FILTER_BYTES = 8 << 20
 
 
 def shingle_sets(docs: DataFrame, n: int) -> DataFrame:
@@ -39,7 +42,10 @@ def shingle_sets(docs: DataFrame, n: int) -> DataFrame:
 def signatures(sets: DataFrame, bands: int, rows: int) -> DataFrame:
     """(row, doc_id, n, name, keys): size and 128-bit name of each set, and a hash of the rows of each band; null for empty sets."""
     members = sets.select("row", "doc_id", F.explode_outer("members").alias("h"))
-    least = [F.min(F.xxhash64("h", F.lit(k))).alias(f"m{k}") for k in range(bands * rows)]
+    # each 64-bit hash gives two functions of 32 bits
+    members = members.select("*", *[F.xxhash64("h", F.lit(k)).alias(f"h{k}") for k in range(-(-bands * rows // 2))])
+    halves = [f(f"h{k}") for k in range(-(-bands * rows // 2)) for f in (lambda h: F.col(h).bitwiseAND(F.lit(0xFFFFFFFF)), lambda h: F.shiftrightunsigned(h, 32))]
+    least = [F.min(h).alias(f"m{k}") for k, h in enumerate(halves[: bands * rows])]
     name = [F.bit_xor(F.xxhash64("h", F.lit(s))).alias(s) for s in ("x", "y")]
     sums = members.groupBy("row", "doc_id").agg(F.count("h").alias("n"), *name, *least)
     keys = F.array(*[F.xxhash64(*[f"m{b * rows + r}" for r in range(rows)]) for b in range(bands)])
@@ -55,7 +61,22 @@ def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return sized.where(F.col("shared") * 100 >= (F.col("total") - F.col("shared")) * percent).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, bands: int = 16, rows: int = 4, rounds: int = HUB_ROUNDS) -> DataFrame:
+def hubs(members: DataFrame, turn: int) -> DataFrame:
+    """One member of each group, another one each turn."""
+    first = members.groupBy("band", "key").agg(F.min_by(F.struct("rep", "n", "component"), F.xxhash64("rep", F.lit(turn))).alias("h"))
+    return settled(first.select("band", "key", "h.*"), "hubs")
+
+
+def of_rows(sets: DataFrame, rows: DataFrame) -> DataFrame:
+    """(row, members) of the sets named in rows. A filter of checked size keeps the others out of the join's shuffle."""
+    sieve = bloom_filter(rows.select(F.xxhash64("row").alias("hash")), MAX_FILTER_BYTES)
+    few = sets.select("row", "members")
+    if sieve is not None:
+        few = few.where(may_hold(sieve[0].scalar(), F.xxhash64("row"), sieve[1]))
+    return few.join(rows, "row", "left_semi")
+
+
+def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, bands: int = 16, rows: int = 6, rounds: int = HUB_ROUNDS) -> DataFrame:
     """(doc_id, text) -> (doc_id, n_shingles, class_id, component_id), one row a document."""
     sets = settled(shingle_sets(docs, n), "sets")
     signed = settled(signatures(sets, bands, rows), "signatures")
@@ -65,8 +86,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, bands: int =
     dealt = classes.select("rep", "n", F.posexplode("keys").alias("band", "key"))
     groups = dealt.groupBy("band", "key").agg(F.count("*").alias("held")).where("held > 1")
     shared = settled(dealt.join(groups.drop("held"), ["band", "key"], "left_semi"), "shared")
-    held = sets.join(settled(shared.select(F.col("rep").alias("row")).distinct(), "reps"), "row", "left_semi")
-    held = settled(held.select("row", "members"), "held")
+    held = settled(of_rows(sets, settled(shared.select(F.col("rep").alias("row")).distinct(), "reps")), "held")
     close = lambda x, y: (F.col(x) * 100 >= F.col(y) * percent) & (F.col(y) * 100 >= F.col(x) * percent)
     links, found, total = None, None, classes.count()
     for turn in range(rounds + 1):
@@ -83,16 +103,14 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, bands: int =
         if not todo:
             break
         now = settled(now.join(left.select("band", "key", "main"), ["band", "key"]), "now")
+        outside = now.where("component <> main")
         whole = turn == rounds or todo <= FEW_PAIRS * max(total, 1000) or (found is not None and not found.head(1))
-        if whole:
-            few = now.where("component <> main").select("band", "key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-            met = now.join(few, ["band", "key"])
-        else:
-            # hubs are a member of the least component and one of the greatest
-            first = now.groupBy("band", "key").agg(F.min(F.struct("component", "rep", "n")).alias("low"), F.max(F.struct("component", "rep", "n")).alias("high"))
-            hub = settled(first.select("band", "key", F.explode(F.array("low", "high")).alias("h")).select("band", "key", F.col("h.rep").alias("b"), F.col("h.n").alias("nb"), F.col("h.component").alias("cb")), "hubs")
-            met = now.join(hub, ["band", "key"])
-        met = met.where((F.col("component") != F.col("cb")) & close("n", "nb"))
+        if not whole:  # each class outside meets the hub of one of its groups, another group and hub each turn
+            outside = outside.groupBy("rep", "n", "component").agg(F.min_by(F.struct("band", "key"), F.xxhash64("rep", "band", F.lit(turn))).alias("at"))
+            outside = outside.select("at.*", "rep", "n", "component")
+        other = outside.select("band", "key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
+        inside = now if whole else hubs(now.where("component = main"), turn)
+        met = inside.join(settled(other, "outside"), ["band", "key"]).where((F.col("component") != F.col("cb")) & close("n", "nb"))
         pairs = met.select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
         found = settled(similar(pairs, held, percent), "links")
         links = found if links is None else links.unionByName(found)

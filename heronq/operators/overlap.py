@@ -43,16 +43,16 @@ def places(hash_: Column, mask: int) -> list[Column]:
     return [hash_.bitwiseAND(F.lit(mask).cast("long")), F.shiftrightunsigned(hash_, 32).bitwiseAND(F.lit(mask).cast("long"))]
 
 
-def bloom_filter(index: DataFrame, max_bytes: int) -> tuple[DataFrame, int] | None:
+def bloom_filter(hashes: DataFrame, max_bytes: int) -> tuple[DataFrame, int] | None:
     """A table of one row, the filter's 64-bit words, and its mask; None if it would be larger than max_bytes."""
-    runs = index.where("run is not null").select("hash").distinct()
+    runs = hashes.select("hash").distinct()
     bits = max(64, 1 << (runs.count() * FILTER_BITS - 1).bit_length())
     if bits // 8 > max_bytes:
         return None
     one = lambda p: F.call_function("shiftleft", F.lit(1).cast("long"), p.bitwiseAND(F.lit(63).cast("long")).cast("int"))
     at = runs.select(F.explode(F.array(*places(F.col("hash"), bits - 1))).alias("p"))
     at = at.select(F.shiftrightunsigned("p", 6).alias("word"), one(F.col("p")).alias("bit"))
-    empty = index.sparkSession.range(bits // 64).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("bit"))
+    empty = hashes.sparkSession.range(bits // 64).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("bit"))
     dense = at.unionByName(empty).groupBy("word").agg(F.bit_or("bit").alias("bit"))
     whole = dense.agg(F.transform(F.sort_array(F.collect_list(F.struct("word", "bit"))), lambda s: s["bit"]).alias("bits"))
     return settled(whole, "filter"), bits - 1
@@ -69,7 +69,7 @@ def found_runs(docs: DataFrame, index: DataFrame, n: int, max_bytes: int) -> Dat
     """(doc_row, doc_id, n_runs, run): the documents' runs that pass the filter, a row a place; a document without any has one row."""
     numbered = docs.select("doc_id", "text").withColumn("doc_row", F.monotonically_increasing_id())
     runs = split_runs(numbered, ["doc_row", "doc_id"], n)
-    sieve = bloom_filter(index, max_bytes)
+    sieve = bloom_filter(index.where("run is not null"), max_bytes)
     every = F.when(F.size("runs") > 0, F.sequence(F.lit(0), F.size("runs") - 1)).otherwise(F.array().cast("array<int>"))
     if sieve is None:
         kept = runs.select("doc_row", "doc_id", "words", F.size("runs").alias("n_runs"), every.alias("places"))

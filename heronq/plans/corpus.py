@@ -51,7 +51,7 @@ SELECT doc_id, len(sets.s)::BIGINT AS n_shingles, coalesce(rep, doc_id) AS class
 FROM sets LEFT JOIN classes ON sets.s = classes.s LEFT JOIN least ON node = rep
 """)
 def minhash_near_duplicates(t):
-    return near_duplicates(t.documents, n=5, percent=80, bands=16, rows=4)
+    return near_duplicates(t.documents, n=5, percent=80, bands=16, rows=6)
 
 
 #: Turns in order with flags: a letter for each turn so far, x where it was left out.

