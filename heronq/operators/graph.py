@@ -1,4 +1,4 @@
-"""Connected components of a table of links."""
+"""Connected components of a table of links, and what links lead to."""
 
 from __future__ import annotations
 
@@ -30,3 +30,21 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         lowered = edges.join(least, "hi").where("lo > m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
         edges = settled(lowered.unionByName(least.select("hi", F.col("m").alias("lo"))).distinct(), "lowered")
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+
+
+def reachable(links: DataFrame, seeds: DataFrame, most_rounds: int = 10_000) -> DataFrame:
+    """links (a, b), seeds (node) -> (node, hops): the seeds and all that links lead to from any of them, with the fewest links.
+
+    Each round joins only the nodes that the last one found, and keeps those not known before, so cycles end; it stops when none
+    is new. Links with null ends lead nowhere, null seeds are none; repeated links and seeds change nothing; no seeds give no rows.
+    """
+    links = settled(links.where("a is not null and b is not null").distinct(), "links")
+    fresh = settled(seeds.where("node is not null").distinct().withColumn("hops", F.lit(0).cast("long")), "found")
+    known = fresh
+    for turn in range(1, most_rounds + 1):
+        if not fresh.head(1):
+            return known
+        there = links.join(fresh.select(F.col("node").alias("a")), "a", "left_semi").select(F.col("b").alias("node")).distinct()
+        fresh = settled(there.join(known, "node", "left_anti").withColumn("hops", F.lit(turn).cast("long")), "found")
+        known = settled(known.unionByName(fresh), "known") if turn % 16 == 0 else known.unionByName(fresh)
+    raise RuntimeError(f"more than {most_rounds} rounds")

@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from heronq.operators.frames import percentile_rounded, top_per_group
+from heronq.operators.graph import reachable
 from heronq.plans.catalog import query
 
 LONG, DOUBLE = "bigint", "double"
@@ -325,6 +326,27 @@ def distinct(t):
     return t.lineitem.select("l_returnflag", "l_linestatus").distinct()
 
 
-@query("WITH RECURSIVE f(n, a, b) AS (SELECT 1::BIGINT, 0::BIGINT, 1::BIGINT UNION ALL SELECT n + 1, b, a + b FROM f WHERE n < 40) SELECT n, a FROM f")
+#: From each region to its nations and the classes of their suppliers, by name.
+_TREE = """WITH RECURSIVE edges AS (SELECT concat('r', n_regionkey) AS up, concat('n', n_nationkey) AS down, n_name AS name FROM {nation}
+  UNION ALL SELECT DISTINCT concat('n', s_nationkey), concat('s', s_nationkey, '/', CAST(floor(s_acctbal / 1000) AS INTEGER)), concat('class ', CAST(floor(s_acctbal / 1000) AS INTEGER)) FROM {supplier}),
+tree(node, path, depth) AS (SELECT concat('r', r_regionkey), CAST(r_name AS {text}), 0 FROM {region}
+  UNION ALL SELECT e.down, concat(t.path, ' > ', e.name), t.depth + 1 FROM tree t JOIN edges e ON e.up = t.node)
+SELECT path, depth FROM tree"""
+
+
+@query(_TREE.format(text="VARCHAR", region="region", nation="nation", supplier="supplier"))
 def recursive_cte(t):
-    return t.spark.sql("WITH RECURSIVE f(n, a, b) AS (SELECT 1L, 0L, 1L UNION ALL SELECT n + 1, b, a + b FROM f WHERE n < 40) SELECT n, a FROM f")
+    """Paths down a hierarchy: the recursive term joins what is read from the tables."""
+    return t.sql(_TREE.replace("{text}", "STRING"), "region", "nation", "supplier")
+
+
+@query("""
+WITH RECURSIVE steps AS (SELECT event_id AS a, lead(event_id) OVER w AS b, ts, lead(ts) OVER w AS next FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+e AS (SELECT a, b FROM steps WHERE next - ts <= INTERVAL 2 HOUR),
+reach(node, hops) AS (SELECT event_id, 0::BIGINT FROM events WHERE event_type = 'signup' UNION SELECT e.b, hops + 1 FROM reach JOIN e ON e.a = node)
+SELECT node, min(hops) AS hops FROM reach GROUP BY node""")
+def recursive_reach(t):
+    """What follows a signup of the same user in steps of at most two hours, and in how few: recursion until nothing is new."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    steps = t.events.select(F.col("event_id").alias("a"), F.lead("event_id").over(w).alias("b"), "ts", F.lead("ts").over(w).alias("next"))
+    return reachable(steps.where("next - ts <= interval 2 hours").select("a", "b"), t.events.where("event_type = 'signup'").select(F.col("event_id").alias("node")))

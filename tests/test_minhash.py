@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from heronq.operators.graph import components
+from heronq.operators.graph import components, reachable
 from heronq.operators.minhash import near_duplicates, shingle_sets, signatures
 from tests.odd import TEXTS
 
@@ -98,3 +98,12 @@ def test_components(spark, seed):
     got = components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert sorted(map(tuple, got)) == sorted((x, find(x)) for x in linked)
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_reachable_ends_on_cycles(spark):
+    links = [(1, 2), (2, 3), (3, 1), (3, 4), (4, 4), (5, 6), (None, 7), (4, None), (2, 3)] + [(100 + i, 101 + i) for i in range(20)]
+    seeds = [(1,), (1,), (None,), (50,), (100,), (110,)]
+    got = reachable(spark.createDataFrame(links, "a long, b long"), spark.createDataFrame(seeds, "node long"))
+    want = {1: 0, 2: 1, 3: 2, 4: 3, 50: 0} | {100 + i: min(i, i - 10 if i >= 10 else i) for i in range(21)}
+    assert sorted(map(tuple, got.collect())) == sorted(want.items())
+    assert reachable(spark.createDataFrame(links, "a long, b long"), spark.createDataFrame([], "node long")).count() == 0
