@@ -1,6 +1,7 @@
 """Streaming queries, run to the end of a replayed table."""
 
 import uuid
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -145,7 +146,103 @@ class Totals(StatefulProcessor):
 
 @query("SELECT user_id, count(*) AS n, sum(round(value * 100)::BIGINT)::BIGINT AS cents FROM events GROUP BY user_id")
 def stream_state(t):
-    t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     rows = replay(t.spark, t.events).select("user_id", F.round(F.col("value") * 100).cast("long").alias("cents"))
     out = rows.groupBy("user_id").transformWithStateInPandas(Totals(), "user_id long, n long, cents long", "Update", "None")
-    return run_to_table(out, "update").groupBy("user_id").agg(F.max("n").alias("n"), F.max_by("cents", "n").alias("cents"))
+    with rocksdb(t.spark):
+        got = run_to_table(out, "update")
+    return got.groupBy("user_id").agg(F.max("n").alias("n"), F.max_by("cents", "n").alias("cents"))
+
+
+@contextmanager
+def rocksdb(spark):
+    """State in RocksDB, which timers and several state variables need, for the streams run inside; then as it was."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
+class Visits(StatefulProcessor):
+    """A user's visits: events less than `gap` microseconds apart. A visit is told when a later event begins another, or when
+    the timer at its end is passed by the watermark, with which its state goes."""
+
+    def __init__(self, gap: int):
+        self.gap = gap
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.visit = handle.getValueState("visit", "start long, last long, n long")
+        self.kinds = handle.getMapState("kinds", "kind string", "n long")
+
+    def tell(self, key):
+        start, last, n = self.visit.get()
+        kinds = sum(1 for _ in self.kinds.keys())
+        self.handle.deleteTimer(self.due(last))
+        self.visit.clear()
+        self.kinds.clear()
+        return (key[0], start, last, n, kinds)
+
+    def due(self, last: int) -> int:
+        """The millisecond by which no event can extend the visit."""
+        return -(-(last + self.gap) // 1000)
+
+    def handleInputRows(self, key, rows, timerValues):
+        told = []
+        new = pd.concat([f[["us", "event_type"]] for f in rows]).sort_values("us")
+        for us, kind in zip(new.us.tolist(), new.event_type.tolist()):
+            if self.visit.exists() and us - self.visit.get()[1] >= self.gap:
+                told.append(self.tell(key))
+            start, last, n = self.visit.get() if self.visit.exists() else (us, None, 0)
+            if last is not None:
+                self.handle.deleteTimer(self.due(last))
+            self.visit.update((start, us, n + 1))
+            self.handle.registerTimer(self.due(us))
+            kind = kind if kind is not None else ""
+            self.kinds.updateValue((kind,), ((self.kinds.getValue((kind,))[0] if self.kinds.containsKey((kind,)) else 0) + 1,))
+        yield self.table(told)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        yield self.table([self.tell(key)] if self.visit.exists() else [])
+
+    def table(self, told):
+        return pd.DataFrame(told, columns=["user_id", "start_us", "last_us", "n", "kinds"]).astype("int64")
+
+    def close(self) -> None:
+        pass
+
+
+@query("""
+WITH g AS (SELECT user_id, event_type, epoch_us(ts) AS us, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w < 3600000000 THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY us) AS k FROM g),
+v AS (SELECT user_id, min(us) AS start_us, max(us) AS last_us, count(*) AS n, count(DISTINCT event_type) AS kinds, k, max(k) OVER (PARTITION BY user_id) AS ks FROM s GROUP BY user_id, k)
+SELECT user_id, start_us, last_us, n, kinds FROM v WHERE k < ks OR last_us + 3600000000 <= (SELECT max(epoch_us(ts)) - 3600000000 FROM events)""")
+def stream_visits(t):
+    """Visits by event-time timers and two kinds of state; what the last watermark has not passed is not told."""
+    rows = replay(t.spark, t.events).withWatermark("ts", "1 hour").select("user_id", "event_type", "ts", F.unix_micros("ts").alias("us"))
+    out = rows.groupBy("user_id").transformWithStateInPandas(Visits(3_600_000_000), "user_id long, start_us long, last_us long, n long, kinds long", "Append", "EventTime")
+    with rocksdb(t.spark):
+        return run_to_table(out)
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT *, CAST(floor(epoch(ts)) AS BIGINT) AS s FROM events), b AS (SELECT min(s) AS lo, max(s) + 1 - min(s) AS span FROM e),
+f AS (SELECT user_id, event_type, ts, (SELECT count(*) FROM range(1, 6) x(j) WHERE s >= lo + span * j // 6) AS k FROM e, b),
+firsts AS (SELECT user_id, event_type, k, min(ts) AS t FROM f GROUP BY ALL),
+marks AS (SELECT k + 1 AS k, max(max(t)) OVER (ORDER BY k) - INTERVAL 2 DAY AS mark FROM firsts GROUP BY k),
+gone AS (SELECT f.*, coalesce((SELECT min(m.k) FROM marks m WHERE m.mark >= f.t + INTERVAL 2 DAY), 99) AS e FROM firsts f),
+told(user_id, event_type, k, e) AS (SELECT user_id, event_type, k, e FROM gone QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY k) = 1
+  UNION ALL SELECT user_id, event_type, k, e FROM (SELECT g.*, row_number() OVER (PARTITION BY g.user_id, g.event_type ORDER BY g.k) AS i FROM told p JOIN gone g ON g.user_id = p.user_id AND g.event_type = p.event_type AND g.k > p.e) WHERE i = 1)
+SELECT user_id, event_type, count(*) AS times FROM told GROUP BY user_id, event_type""")
+def stream_dedup_expiring(t):
+    """A key comes through again once the watermark has passed the time until which its first row is remembered."""
+    e = t.events.withColumn("s", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000))
+    lo, hi = e.agg(F.min("s"), F.max("s")).head()
+    k = F.lit(0)
+    for j in range(1, 6) if lo is not None else ():
+        k = k + (F.col("s") >= lo + (hi + 1 - lo) * j // 6).cast("int")
+    firsts = e.groupBy("user_id", "event_type", k.alias("k")).agg(F.min("ts").alias("ts"))
+    rows = replay(t.spark, firsts, bounds=None if lo is None else (lo, hi)).withWatermark("ts", "2 days").dropDuplicatesWithinWatermark(["user_id", "event_type"])
+    return run_to_table(rows.select("user_id", "event_type")).groupBy("user_id", "event_type").agg(F.count("*").alias("times"))

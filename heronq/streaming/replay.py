@@ -14,13 +14,13 @@ from pyspark.sql import types as T
 from heronq.sources.scratch import scratch
 
 
-def replay(spark: SparkSession, events: DataFrame, time: str = "ts", files: int = 6, order: tuple[int, ...] | None = None) -> DataFrame:
+def replay(spark: SparkSession, events: DataFrame, time: str = "ts", files: int = 6, order: tuple[int, ...] | None = None, bounds: tuple[int, int] | None = None) -> DataFrame:
     """A stream of the rows in slices of equal time, one slice in each micro-batch; time becomes a zoned timestamp.
 
-    order: the order in which slices come, by default that of time.
+    order: the order in which slices come, by default that of time. bounds: the first and last second sliced, by default those of the rows.
     """
     rows = events.withColumn(time, F.col(time).cast("timestamp"))
-    lo, hi = rows.agg(F.min(time).cast("long"), F.max(time).cast("long")).first()
+    lo, hi = bounds or rows.agg(F.min(time).cast("long"), F.max(time).cast("long")).first()
     path = scratch(spark)
     for k in (order or range(files)) if lo is not None else ():
         a, b = lo + (hi + 1 - lo) * k // files, lo + (hi + 1 - lo) * (k + 1) // files
