@@ -4,8 +4,8 @@ from pyspark.sql import functions as F
 
 from heronq.plans.catalog import query
 from heronq.sources import formats
-from heronq.sources.counter import CounterSource
 from heronq.sources.scratch import scratch
+from heronq.sources.segments import FORMAT, SegmentSource
 
 ORDERS = "SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total, max(o_orderdate) AS last FROM orders GROUP BY o_orderstatus"
 
@@ -67,7 +67,11 @@ def bucketed_tables(t):
     return joined.groupBy("c_mktsegment").agg(F.count("*").alias("n"))
 
 
-@query("SELECT range AS n, range * range AS square FROM range(1000)")
+@query(ORDERS)
 def custom_source(t):
-    t.spark.dataSource.register(CounterSource)
-    return t.spark.read.format("heronq_counter").options(n="1000", parts="5").load()
+    """Written by a connector of one's own that commits, in segments of order keys, and read back by it."""
+    t.spark.dataSource.register(SegmentSource)
+    path = scratch(t.spark) + "/segments"
+    t.orders.repartitionByRange(8, "o_orderkey").write.format(FORMAT).option("path", path).option("key", "o_orderkey").mode("append").save()
+    got = t.spark.read.format(FORMAT).option("path", path).load()
+    return got.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"), F.max("o_orderdate").alias("last"))
