@@ -25,7 +25,7 @@ from heronq.operators.overlap import bloom_filter, may_hold
 from heronq.sources.scratch import settled
 
 #: Rounds of hubs at most, and pairs across components a class at which the rest is compared at once.
-HUB_ROUNDS, FEW_PAIRS = 8, 1
+HUB_ROUNDS, FEW_PAIRS = 3, 4
 #: Greatest size of the filter of rows whose sets are compared.
 MAX_FILTER_BYTES = 8 << 20
 
