@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from heronq.operators.dialogue import conversation_report, transcripts
 from heronq.operators.minhash import near_duplicates
+from heronq.operators.neighbours import exact_neighbours
 from heronq.operators.overlap import coverage_of_items, overlap_of_documents
 from heronq.operators.redaction import ADDRESS, CARD, EMAIL, IBAN, LICENCE, LICENCES, SECRET, SECRET_DIGITS, SECRET_ENTROPY, personal_data
 from heronq.plans.catalog import query
@@ -118,3 +119,12 @@ SELECT doc_id, n_email, n_address, n_card, n_iban, n_secret, len(l)::BIGINT AS n
 def personal_data_redaction(t):
     got = personal_data(t.documents)
     return got.select(*[c for c in got.columns if c != "redacted"], F.sha2("redacted", 256).alias("redacted_sha256"))
+
+
+@query("""
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(a.e, b.e), 9) AS c FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE a.vec_id % 20 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, vec_id)::INTEGER AS rank, vec_id, round(c, 6) AS cosine FROM p QUALIFY rank <= 20
+""")
+def exact_nearest(t):
+    return exact_neighbours(t.embeddings, k=20).withColumn("cosine", F.round("cosine", 6))
