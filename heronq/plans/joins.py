@@ -107,7 +107,9 @@ def asof_two_tables(t):
 
 @query("SELECT c_custkey, x.o_orderkey FROM customer, LATERAL (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2) x")
 def lateral_join(t):
-    return t.sql("SELECT c_custkey, x.o_orderkey FROM {customer}, LATERAL (SELECT o_orderkey FROM {orders} WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2) x", "customer", "orders")
+    """ORDER BY with LIMIT in a correlated subquery becomes a window without an order over sorted rows, which a shuffle mixes: the rank is explicit."""
+    ranked = "SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC NULLS LAST, o_orderkey NULLS LAST) AS n FROM {orders}"
+    return t.sql(f"SELECT c_custkey, x.o_orderkey FROM {{customer}}, LATERAL (SELECT o_orderkey FROM ({ranked}) WHERE o_custkey = c_custkey AND n <= 2) x", "customer", "orders")
 
 
 @query("SELECT l_orderkey, l_partkey, l_quantity FROM lineitem l WHERE l_quantity > (SELECT 1.9 * avg(l_quantity) FROM lineitem i WHERE i.l_partkey = l.l_partkey)")
