@@ -1,4 +1,4 @@
-"""Near-duplicate documents by min-wise hashing and banding.
+"""Near-duplicate documents by min-wise hashing and banding, made exact by a prefix join of what banding left apart.
 
 A document's set is that of the hashes of its runs of words. Equal sets are one class. A class' signature is the least value of
 its set under each of rows * bands hash functions, one aggregate over the set's members; classes that agree in all rows of a
@@ -9,6 +9,11 @@ A band's group is never spread into all its pairs at first: in each round a clas
 meets one member of that component (the hub), and the links found make components anew. When the pairs across components
 that are left are few, or a round links nothing, all of them are compared, so no candidate is dropped.
 
+Banding misses a link by chance now and then. So pairs across the components it made are searched once more, exactly. Similar sets
+share tokens in their prefixes under any order of the tokens, and most of all their tokens; a class is out as soon as too
+few of its tokens stand in another component (see apart). Those left meet, again by hubs, in groups by the tokens of prefixes
+that put rare tokens first.
+
 Defined results: words are compared with A-Z in lower case; a text with fewer words than a run has them all as its one
 run; null and empty texts and those without words have empty sets and link with nothing; rows with equal ids are rows of
 their own; a null id never names a class or component unless all its ids are null; other columns are ignored.
@@ -16,7 +21,7 @@ their own; a null id never names a class or component unless all its ids are nul
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heronq.functions.text import lower_ascii, run_hashes, words
@@ -76,25 +81,58 @@ def of_rows(sets: DataFrame, rows: DataFrame) -> DataFrame:
     return few.join(rows, "row", "left_semi")
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, bands: int = 16, rows: int = 6, rounds: int = HUB_ROUNDS) -> DataFrame:
-    """(doc_id, text) -> (doc_id, n_shingles, class_id, component_id), one row a document."""
-    sets = settled(shingle_sets(docs, n), "sets")
-    signed = settled(signatures(sets, bands, rows), "signatures")
-    # the least row stands for its class: as keys are equal within a class, any row's are the class' own
-    classes = signed.where("n > 0").groupBy("name").agg(F.min("row").alias("rep"), F.min("doc_id").alias("class_id"), F.first("keys").alias("keys"), F.first("n").alias("n"))
-    classes = settled(classes, "classes")
-    dealt = classes.select("rep", "n", F.posexplode("keys").alias("band", "key"))
-    groups = dealt.groupBy("band", "key").agg(F.count("*").alias("held")).where("held > 1")
-    shared = settled(dealt.join(groups.drop("held"), ["band", "key"], "left_semi"), "shared")
-    held = settled(of_rows(sets, settled(shared.select(F.col("rep").alias("row")).distinct(), "reps")), "held")
+def needed(percent: int, n: Column | None = None) -> Column:
+    """Tokens that a set of n shares with any similar one at least."""
+    return F.ceil((F.col("n") if n is None else n) * F.lit(percent) / F.lit(100.0)).cast("int")
+
+
+def elsewhere(tokens: DataFrame, least: Column) -> DataFrame:
+    """Of (rep, n, component, h): the classes (rep) that hold at least so many tokens which another component holds too."""
+    both = tokens.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("h")
+    live = tokens.join(settled(both, "both"), "h").groupBy("rep", "n").agg(F.count("*").alias("live"))
+    return live.where(F.col("live") >= least).select("rep")
+
+
+def apart(sets: DataFrame, classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """classes (rep, n, component) -> groups (band: -1, key, rep, n) in which each similar pair of two components meets, and the sets
+    (row, members) of their classes.
+
+    First only prefixes in order of hash are looked at: if two sets share c tokens, their prefixes of n - c + k share k. With k a fifth of
+    n, a set shares the k of the smallest possible partner. Then all tokens of the classes left count, of which c must stand elsewhere.
+    """
+    fifth = lambda n: F.greatest(F.lit(1), F.floor(n / 5).cast("int"))
+    at = classes.select(F.col("rep").alias("row"), "component")
+    size = F.size("members")
+    heads = sets.where(size > 0).select("row", size.alias("n"), F.slice(F.array_sort("members"), F.lit(1), size - needed(percent, size) + fifth(size)).alias("head"))
+    heads = settled(heads.join(at, "row").select(F.col("row").alias("rep"), "n", "component", F.explode("head").alias("h")), "heads")
+    some = settled(elsewhere(heads, fifth(needed(percent))), "some")
+    whole = settled(of_rows(sets, some.select(F.col("rep").alias("row"))), "whole")
+    tokens = whole.join(at, "row").select(F.col("row").alias("rep"), F.size("members").alias("n"), "component", F.explode("members").alias("h"))
+    tokens = settled(tokens, "tokens")
+    few = settled(elsewhere(tokens, needed(percent)), "few")
+    tokens = settled(tokens.join(few, "rep", "left_semi"), "tokens")
+    often = settled(tokens.groupBy("h").agg(F.count("*").alias("m")), "often")
+    # tokens that no other set left holds stand first and take their places, but make no groups
+    ranked = tokens.join(often, "h").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("m", "h"))).alias("x"))
+    first = ranked.select("rep", "n", F.explode(F.slice("x", F.lit(1), F.col("n") - needed(percent) + 1)).alias("x")).where("x.m > 1")
+    groups = first.select(F.lit(-1).alias("band"), F.col("x.h").alias("key"), "rep", F.col("n").cast("long").alias("n"))
+    return settled(groups, "groups"), settled(of_rows(whole, few.select(F.col("rep").alias("row"))), "held")
+
+
+def with_components(rows: DataFrame, links: DataFrame | None) -> DataFrame:
+    """rows with the component of each rep by the links so far."""
+    if links is None:
+        return rows.withColumn("component", F.col("rep"))
+    roots = settled(components(links), "components").select(F.col("node").alias("rep"), F.col("component").alias("root"))
+    return rows.join(roots, "rep", "left").withColumn("component", F.coalesce("root", "rep")).drop("root")
+
+
+def linked(shared: DataFrame, held: DataFrame, links: DataFrame | None, total: int, percent: int, rounds: int) -> DataFrame | None:
+    """The links given and those found among the members of groups (band, key, rep, n), as far as they join components."""
     close = lambda x, y: (F.col(x) * 100 >= F.col(y) * percent) & (F.col(y) * 100 >= F.col(x) * percent)
-    links, found, total = None, None, classes.count()
+    found = None
     for turn in range(rounds + 1):
-        if found is None:
-            now = shared.withColumn("component", F.col("rep"))
-        else:
-            roots = settled(components(links), "components").select(F.col("node").alias("rep"), F.col("component").alias("root"))
-            now = shared.join(roots, "rep", "left").withColumn("component", F.coalesce("root", "rep")).drop("root")
+        now = with_components(shared, links)
         # of each group all that is open are pairs of members outside its largest component with others
         per = now.groupBy("band", "key", "component").agg(F.count("*").alias("m"))
         left = per.groupBy("band", "key").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.max("m").alias("most"), F.sum("m").alias("m")).where("m > most")
@@ -116,6 +154,24 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, bands: int =
         links = found if links is None else links.unionByName(found)
         if whole:
             break
+    return links
+
+
+def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, bands: int = 16, rows: int = 6, rounds: int = HUB_ROUNDS) -> DataFrame:
+    """(doc_id, text) -> (doc_id, n_shingles, class_id, component_id), one row a document."""
+    sets = settled(shingle_sets(docs, n), "sets")
+    signed = settled(signatures(sets, bands, rows), "signatures")
+    # the least row stands for its class: as keys are equal within a class, any row's are the class' own
+    classes = signed.where("n > 0").groupBy("name").agg(F.min("row").alias("rep"), F.min("doc_id").alias("class_id"), F.first("keys").alias("keys"), F.first("n").alias("n"))
+    classes = settled(classes, "classes")
+    dealt = classes.select("rep", "n", F.posexplode("keys").alias("band", "key"))
+    groups = dealt.groupBy("band", "key").agg(F.count("*").alias("held")).where("held > 1")
+    shared = settled(dealt.join(groups.drop("held"), ["band", "key"], "left_semi"), "shared")
+    held = settled(of_rows(sets, settled(shared.select(F.col("rep").alias("row")).distinct(), "reps")), "held")
+    total = classes.count()
+    links = linked(shared, held, None, total, percent, rounds)
+    shared, held = apart(sets, settled(with_components(classes.select("rep", "n"), links), "known"), percent)
+    links = linked(shared, held, links, total, percent, rounds)
     known = classes.select("name", "rep", "class_id")
     if links is not None:
         roots = settled(components(links), "components").select(F.col("node").alias("rep"), F.col("component").alias("root"))

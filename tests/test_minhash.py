@@ -64,6 +64,20 @@ def test_against_all_pairs(spark, rounds, monkeypatch):
     assert near_duplicates(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("few", [0, 4])
+def test_what_banding_misses_is_found(spark, few, monkeypatch):
+    """One band of many rows meets hardly any pair; the answer is exact all the same, for sets just at the threshold too."""
+    monkeypatch.setattr("heronq.operators.minhash.FEW_PAIRS", few)
+    rng = random.Random(5)
+    texts = near_texts(5, 12, 11) + [" ".join(f"s{rng.randrange(9)}" for _ in range(rng.randrange(1, 9))) for _ in range(150)]
+    for g in range(6):  # 40 of 50 shingles in common, and 39 of 51
+        w = [f"t{g}x{i}" for i in range(60)]
+        texts += [" ".join(w[:44] + ["end"]), " ".join(w[:48]), " ".join(w[:45] + [f"a{i}" for i in range(5)]), " ".join(w[:45] + [f"b{i}" for i in range(5)]), " ".join(w[:44] + [f"c{i}" for i in range(4)])]
+    rows = list(enumerate(texts))
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), bands=1, rows=24)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == brute(rows, 5, 80)
+
+
 def test_recall_of_the_bands(spark):
     """Of all pairs at or above the threshold, the share that meets in a band; pairs far below seldom meet."""
     rows = list(enumerate(near_texts(12, 20, 3)))
