@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 from heronq.sources.scratch import settled
 
 PIVOTS, STRIP, PLACES = 16, 1024, 9
-#: Bytes of the queries sent out at once.
+#: Queries that meet a strip at once: a task's memory beside its queries and their k rows is that of BLOCK * STRIP cosines.
+BLOCK = 1024
+#: Bytes of the queries sent out at once, or of the rows that a task keeps for them if these are more.
 CHUNK_BYTES = 16 << 20
 _FOUND = pa.schema([("query_row", pa.int64()), ("query_id", pa.int64()), ("row", pa.int64()), ("vec_id", pa.int64()), ("cosine", pa.float64())])
 
@@ -85,28 +87,39 @@ def pass_over(batches, asked, pivots: np.ndarray, k: int):
     from_pivots = angles(x, pivots)
     kth, reach = np.full(len(x), -np.inf), np.full(len(x), np.pi)
     last = np.iinfo(np.int64).max  # for null ids
-    held = [np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)]
+    none = [np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)]
+    blocks = [slice(lo, lo + BLOCK) for lo in range(0, len(x), BLOCK)]
+    held = [none for _ in blocks]
     for b in batches:
         for at in range(0, b.num_rows, STRIP):
             s = b.slice(at, STRIP)
             y = matrix(s.column(2), x.shape[1])
             row, vec_id = s.column(0).to_numpy(), s.column(1).fill_null(last).to_numpy()
             shell = angles(y, pivots)
-            gap = np.maximum(from_pivots - shell.max(axis=0), shell.min(axis=0) - from_pivots).max(axis=1)
-            on = np.flatnonzero(gap <= reach + 1e-6)
-            cosine = np.round(x[on] @ y.T, PLACES)
-            i, j = np.nonzero((cosine >= kth[on][:, None]) & (row[None, :] != q_row[on][:, None]))
-            if not len(i):
-                continue
-            hits = [on[i], cosine[i, j], vec_id[j], row[j]]
-            held = [np.concatenate(pair) for pair in zip(held, hits)]
-            keep, rank = best(*held, k)
-            held = [h[keep] for h in held]
-            full = rank == k - 1
-            kth[held[0][full]] = held[1][full]
-            reach = np.arccos(np.clip(np.where(np.isfinite(kth), kth, -1), -1, 1))
-    q, cosine, vec_id, row = held
-    yield pa.RecordBatch.from_arrays([pa.array(q_row[q]), pa.array(q_id[q]), pa.array(row), pa.array(vec_id, mask=vec_id == last), pa.array(cosine)], schema=_FOUND)
+            low, high = shell.min(axis=0), shell.max(axis=0)
+            for n, part in enumerate(blocks):
+                gap = np.maximum(from_pivots[part] - high, low - from_pivots[part]).max(axis=1)
+                on = part.start + np.flatnonzero(gap <= reach[part] + 1e-6)
+                if not len(on):
+                    continue
+                cosine = np.round(x[on] @ y.T, PLACES)
+                cosine[row[None, :] == q_row[on][:, None]] = -np.inf
+                least = kth[on]
+                new = np.isinf(least)
+                if new.any() and len(row) > k:  # the k-th of the strip is a bound where there is none yet
+                    least[new] = np.partition(cosine[new], len(row) - k, axis=1)[:, len(row) - k]
+                i, j = np.nonzero((cosine >= least[:, None]) & (cosine > -np.inf))
+                if not len(i):
+                    continue
+                hits = [on[i], cosine[i, j], vec_id[j], row[j]]
+                mine = [np.concatenate(pair) for pair in zip(held[n], hits)]
+                keep, rank = best(*mine, k)
+                held[n] = mine = [h[keep] for h in mine]
+                full = rank == k - 1
+                kth[mine[0][full]] = mine[1][full]
+                reach[part] = np.arccos(np.clip(np.where(np.isfinite(kth[part]), kth[part], -1), -1, 1))
+    for q, cosine, vec_id, row in held or [none]:
+        yield pa.RecordBatch.from_arrays([pa.array(q_row[q]), pa.array(q_id[q]), pa.array(row), pa.array(vec_id, mask=vec_id == last), pa.array(cosine)], schema=_FOUND)
 
 
 def exact_neighbours(vectors: DataFrame, k: int = 20, is_query: Column | None = None, column: str = "embedding", pivots: int = PIVOTS, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -120,7 +133,7 @@ def exact_neighbours(vectors: DataFrame, k: int = 20, is_query: Column | None =
         some = rows.where(F.col("dim") == dim)
         base = matrix(some.orderBy(F.xxhash64("row", F.lit(7)), "row").limit(pivots).select("unit").toArrow().column(0), dim)
         table = dealt(some, base)
-        chunks = -(-n * dim * 8 // chunk_bytes)
+        chunks = -(-n * max(dim, 4 * k) * 8 // chunk_bytes)
         for c in range(chunks):
             mine = asks.where((F.col("dim") == dim) & (F.pmod(F.xxhash64("row", F.lit(3)), F.lit(chunks)) == c)).select("row", "vec_id", "unit").toArrow()
             if not mine.num_rows:

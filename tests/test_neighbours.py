@@ -59,3 +59,24 @@ def test_strips_are_skipped():
     assert sum(skipped) < 0.7 * 8 * 40
     want = np.argsort(-(x[::20] @ x.T), axis=1)[:, 1:6] // 100
     assert out.num_rows == 200 and (np.sort(out.column(2).to_numpy() // 100) == np.sort(want.ravel())).all()
+
+
+def test_memory_of_a_task_does_not_grow_with_its_queries():
+    """Arrays that a task makes beside its queries and their k rows are bounded by a block of them."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    y = rng.standard_normal((1500, 8))
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1500)), pa.array(range(1500)), pa.array([v.tobytes() for v in y], pa.binary())], names=["row", "vec_id", "unit"])
+    peaks = []
+    for times in (1, 6):
+        asked = np.arange(10_000, 10_000 + 1000 * times), np.arange(1000 * times), np.tile(y[:1000], (times, 1))
+        tracemalloc.start()
+        out = pa.Table.from_batches(N.pass_over([batch], asked, y[:4], 3))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert out.num_rows == 3000 * times
+    assert peaks[1] < 1.5 * peaks[0], peaks
