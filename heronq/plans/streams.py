@@ -111,6 +111,23 @@ def stream_stream_join(t):
     return run_to_table(joined.select("purchase", "view_id"))
 
 
+#: Rows of a bucket of users: at most that many buckets for fewer, and at least that many for more.
+FEW_ROWS, MANY_ROWS = 2_000, 20_000
+
+
+def by_bucket(rows, events):
+    """Stream rows grouped by buckets of users, each a key of state. A call of Python and an exchange with the state store are
+    so made for hundreds of users at once; the buckets grow in number with the table. Null users have the bucket -1, as user 0."""
+    n, parts = events.count(), int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    count = max(1, min(2 * parts, n // FEW_ROWS), n // MANY_ROWS)
+    bucket = F.when(F.col("user_id").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("user_id"), F.lit(count)))
+    return rows.withColumns({"bucket": bucket.cast("long"), "user_id": F.coalesce("user_id", F.lit(0).cast("long"))}).groupBy("bucket")
+
+
+def _user():
+    return F.when(F.col("bucket") >= 0, F.col("user_id")).alias("user_id")
+
+
 @query("SELECT user_id, count(*) AS n, max(epoch_us(ts)) AS last FROM events GROUP BY user_id")
 def stream_state_legacy(t):
     """Counts kept by applyInPandasWithState; of its updates the last of each key counts."""
@@ -166,49 +183,66 @@ def rocksdb(spark):
 
 
 class Visits(StatefulProcessor):
-    """A user's visits: events less than `gap` microseconds apart. A visit is told when a later event begins another, or when
-    the timer at its end is passed by the watermark, with which its state goes."""
+    """The visits of a bucket of users: events less than `gap` microseconds apart. A visit is told when a later event begins another, or
+    when the watermark passes its end, for which the bucket has a timer; with it goes its state. Null kinds are not counted."""
+
+    VISIT, KIND = ["user_id", "start", "last", "n"], ["user_id", "kind"]
 
     def __init__(self, gap: int):
         self.gap = gap
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.visit = handle.getValueState("visit", "start long, last long, n long")
-        self.kinds = handle.getMapState("kinds", "kind string", "n long")
-
-    def tell(self, key):
-        start, last, n = self.visit.get()
-        kinds = sum(1 for _ in self.kinds.keys())
-        self.handle.deleteTimer(self.due(last))
-        self.visit.clear()
-        self.kinds.clear()
-        return (key[0], start, last, n, kinds)
-
-    def due(self, last: int) -> int:
+        self.visits = handle.getListState("visits", "user_id long, start long, last long, n long")
+        self.kinds = handle.getListState("kinds", "user_id long, kind string")
+
+    def known(self):
+        visits, kinds = (list(x.get()) if x.exists() else [] for x in (self.visits, self.kinds))
+        return pd.DataFrame(visits, columns=self.VISIT, dtype="int64"), pd.DataFrame(kinds, columns=self.KIND).astype({"user_id": "int64"})
+
+    def keep(self, visits, kinds) -> None:
+        """Puts the open visits, with a timer at the end of the first; timers of visits that went on find nothing to tell."""
+        for state, rows in ((self.visits, visits[self.VISIT]), (self.kinds, kinds[self.KIND])):
+            if len(rows):
+                state.put(list(zip(*(rows[c].tolist() for c in rows))))
+            else:
+                state.clear()
+        if len(visits):
+            self.handle.registerTimer(int(self.due(visits["last"]).min()))
+
+    def due(self, last):
         """The millisecond by which no event can extend the visit."""
         return -(-(last + self.gap) // 1000)
 
     def handleInputRows(self, key, rows, timerValues):
-        told = []
-        new = pd.concat([f[["us", "event_type"]] for f in rows]).sort_values("us")
-        for us, kind in zip(new.us.tolist(), new.event_type.tolist()):
-            if self.visit.exists() and us - self.visit.get()[1] >= self.gap:
-                told.append(self.tell(key))
-            start, last, n = self.visit.get() if self.visit.exists() else (us, None, 0)
-            if last is not None:
-                self.handle.deleteTimer(self.due(last))
-            self.visit.update((start, us, n + 1))
-            self.handle.registerTimer(self.due(us))
-            kind = kind if kind is not None else ""
-            self.kinds.updateValue((kind,), ((self.kinds.getValue((kind,))[0] if self.kinds.containsKey((kind,)) else 0) + 1,))
-        yield self.table(told)
+        new = pd.concat([f[["user_id", "us", "event_type"]] for f in rows]).sort_values(["user_id", "us"], ignore_index=True)
+        visits, kinds = self.known()
+        before = new.groupby("user_id").us.shift().fillna(-1).astype("int64")
+        first = ~new.user_id.duplicated()
+        last = new.user_id.map(visits.set_index("user_id")["last"])
+        goes_on = first & last.notna() & (new.us - last.fillna(0).astype("int64") < self.gap)
+        # v numbers visits: a user's open visit, told or going on, is its own row of parts
+        new["v"] = ((first & ~goes_on) | (~first & (new.us - before >= self.gap)) | goes_on).cumsum()
+        on = new.loc[goes_on, ["user_id", "v"]].set_index("user_id").v
+        numbers = pd.Series(-1 - visits.index.to_numpy(), index=visits.user_id, dtype="int64")
+        numbers.update(on)
+        parts = pd.concat([visits.assign(v=visits.user_id.map(numbers)), pd.DataFrame({"user_id": new.user_id, "start": new.us, "last": new.us, "n": 1, "v": new.v})])
+        every = parts.groupby("v", as_index=False).agg({"user_id": "first", "start": "min", "last": "max", "n": "sum"})
+        seen = pd.concat([kinds.assign(v=kinds.user_id.map(numbers)), new.dropna(subset="event_type").rename(columns={"event_type": "kind"})[["user_id", "kind", "v"]]]).drop_duplicates(["v", "kind"])
+        is_open = ~every.sort_values("v").user_id.duplicated(keep="last")
+        self.keep(every[is_open], seen[seen.v.isin(every.v[is_open])])
+        yield self.table(key, every[~is_open], seen.groupby("v").size())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        yield self.table([self.tell(key)] if self.visit.exists() else [])
+        visits, kinds = self.known()
+        over = self.due(visits["last"]) <= timerValues.getCurrentWatermarkInMs()
+        left = visits[~over]
+        self.keep(left, kinds[kinds.user_id.isin(left.user_id)])
+        yield self.table(key, visits[over].assign(v=visits.user_id[over]), kinds.groupby("user_id").size())
 
-    def table(self, told):
-        return pd.DataFrame(told, columns=["user_id", "start_us", "last_us", "n", "kinds"]).astype("int64")
+    def table(self, key, told, counts):
+        kinds = told.v.map(counts).fillna(0)
+        return pd.DataFrame({"bucket": key[0], "user_id": told.user_id, "start_us": told["start"], "last_us": told["last"], "n": told.n, "kinds": kinds}).astype("int64")
 
     def close(self) -> None:
         pass
@@ -221,10 +255,10 @@ v AS (SELECT user_id, min(us) AS start_us, max(us) AS last_us, count(*) AS n, co
 SELECT user_id, start_us, last_us, n, kinds FROM v WHERE k < ks OR last_us + 3600000000 <= (SELECT max(epoch_us(ts)) - 3600000000 FROM events)""")
 def stream_visits(t):
     """Visits by event-time timers and two kinds of state; what the last watermark has not passed is not told."""
-    rows = replay(t.spark, t.events).withWatermark("ts", "1 hour").select("user_id", "event_type", "ts", F.unix_micros("ts").alias("us"))
-    out = rows.groupBy("user_id").transformWithStateInPandas(Visits(3_600_000_000), "user_id long, start_us long, last_us long, n long, kinds long", "Append", "EventTime")
+    rows = replay(t.spark, t.events.select("user_id", "event_type", "ts")).withWatermark("ts", "1 hour").select("user_id", "event_type", "ts", F.unix_micros("ts").alias("us"))
+    out = by_bucket(rows, t.events).transformWithStateInPandas(Visits(3_600_000_000), "bucket long, user_id long, start_us long, last_us long, n long, kinds long", "Append", "EventTime")
     with rocksdb(t.spark):
-        return run_to_table(out)
+        return run_to_table(out).select(_user(), "start_us", "last_us", "n", "kinds")
 
 
 @query("""

@@ -13,6 +13,9 @@ from pyspark.sql import types as T
 
 from heronq.sources.scratch import scratch
 
+#: Rows of a slice's file on average, at most.
+FILE_ROWS = 250_000
+
 
 def replay(spark: SparkSession, events: DataFrame, time: str = "ts", files: int = 6, order: tuple[int, ...] | None = None, bounds: tuple[int, int] | None = None) -> DataFrame:
     """A stream of the rows in slices of equal time, one slice in each micro-batch; time becomes a zoned timestamp.
@@ -20,14 +23,21 @@ def replay(spark: SparkSession, events: DataFrame, time: str = "ts", files: int
     order: the order in which slices come, by default that of time. bounds: the first and last second sliced, by default those of the rows.
     """
     rows = events.withColumn(time, F.col(time).cast("timestamp"))
-    lo, hi = bounds or rows.agg(F.min(time).cast("long"), F.max(time).cast("long")).first()
+    lo, hi, n = rows.agg(F.min(time).cast("long"), F.max(time).cast("long"), F.count(time)).first()
+    lo, hi = bounds or (lo, hi)
     path = scratch(spark)
-    for k in (order or range(files)) if lo is not None else ():
+    # as many files in each slice, and later times for those of later slices: a batch takes the files of one slice
+    pieces = max(1, -(-n // (files * FILE_ROWS)))
+    for turn, k in enumerate(order or range(files) if lo is not None else ()):
         a, b = lo + (hi + 1 - lo) * k // files, lo + (hi + 1 - lo) * (k + 1) // files
-        rows.where((F.col(time).cast("long") >= a) & (F.col(time).cast("long") < b)).coalesce(1).write.mode("append").parquet(path)
+        mine = rows.where((F.col(time).cast("long") >= a) & (F.col(time).cast("long") < b))
+        (mine.repartition(pieces) if pieces > 1 else mine.coalesce(1)).write.mode("append").parquet(path)
+        if pieces > 1:  # parts without rows write no files
+            for _ in range((turn + 1) * pieces - len(spark.read.schema(rows.schema).parquet(path).inputFiles())):
+                spark.createDataFrame([], rows.schema).write.mode("append").parquet(path)
     if lo is None:
         rows.write.parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", pieces).parquet(path)
 
 
 def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
