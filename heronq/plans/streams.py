@@ -145,17 +145,20 @@ def stream_state_legacy(t):
 
 
 class Totals(StatefulProcessor):
-    """Running count and sum by key."""
+    """Running count and sum by user, for a bucket of users at once."""
+
+    COLUMNS = ["user_id", "n", "valued", "cents"]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("totals", "n long, cents long")
+        self.state = handle.getListState("totals", "user_id long, n long, valued long, cents long")
 
     def handleInputRows(self, key, rows, timerValues):
-        n, cents = self.state.get() if self.state.exists() else (0, 0)
-        for f in rows:
-            n, cents = n + len(f), cents + int(f.cents.sum())
-        self.state.update((n, cents))
-        yield pd.DataFrame({"user_id": [key[0]], "n": [n], "cents": [cents]})
+        old = pd.DataFrame(list(self.state.get()) if self.state.exists() else [], columns=self.COLUMNS, dtype="int64")
+        new = pd.concat([f.assign(n=1)[self.COLUMNS].groupby("user_id", as_index=False).sum() for f in rows])
+        now = pd.concat([old, new]).groupby("user_id", as_index=False).sum()
+        self.state.put([tuple(r) for r in now[self.COLUMNS].to_numpy().tolist()])
+        told = now[now.user_id.isin(new.user_id)]
+        yield told.assign(bucket=key[0])[["bucket", *self.COLUMNS]]
 
     def close(self) -> None:
         pass
@@ -163,11 +166,13 @@ class Totals(StatefulProcessor):
 
 @query("SELECT user_id, count(*) AS n, sum(round(value * 100)::BIGINT)::BIGINT AS cents FROM events GROUP BY user_id")
 def stream_state(t):
-    rows = replay(t.spark, t.events).select("user_id", F.round(F.col("value") * 100).cast("long").alias("cents"))
-    out = rows.groupBy("user_id").transformWithStateInPandas(Totals(), "user_id long, n long, cents long", "Update", "None")
+    cents = F.round(F.col("value") * 100).cast("long")
+    rows = replay(t.spark, t.events.select("user_id", "ts", "value"))
+    rows = rows.select("user_id", F.col("value").isNotNull().cast("long").alias("valued"), F.coalesce(cents, F.lit(0).cast("long")).alias("cents"))
+    out = by_bucket(rows, t.events).transformWithStateInPandas(Totals(), "bucket long, user_id long, n long, valued long, cents long", "Update", "None")
     with rocksdb(t.spark):
         got = run_to_table(out, "update")
-    return got.groupBy("user_id").agg(F.max("n").alias("n"), F.max_by("cents", "n").alias("cents"))
+    return got.groupBy(_user()).agg(F.max("n").alias("n"), F.max_by(F.when(F.col("valued") > 0, F.col("cents")), "n").alias("cents"))
 
 
 @contextmanager
