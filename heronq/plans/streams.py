@@ -130,18 +130,20 @@ def _user():
 
 @query("SELECT user_id, count(*) AS n, max(epoch_us(ts)) AS last FROM events GROUP BY user_id")
 def stream_state_legacy(t):
-    """Counts kept by applyInPandasWithState; of its updates the last of each key counts."""
+    """Counts kept by applyInPandasWithState; of its updates the last of each user counts."""
 
     def step(key, frames, state: GroupState):
-        n, last = state.get if state.exists else (0, 0)
-        for f in frames:
-            n, last = n + len(f), max(last, int(f.us.max()))
-        state.update((n, last))
-        yield pd.DataFrame({"user_id": [key[0]], "n": [n], "last": [last]})
-
-    rows = replay(t.spark, t.events).select("user_id", F.unix_micros("ts").alias("us"))
-    out = rows.groupBy("user_id").applyInPandasWithState(step, "user_id long, n long, last long", "n long, last long", "update", GroupStateTimeout.NoTimeout)
-    return run_to_table(out, "update").groupBy("user_id").agg(F.max("n").alias("n"), F.max("last").alias("last"))
+        new = pd.concat([f.groupby("user_id").us.agg(["size", "max"]) for f in frames]).groupby(level=0).agg({"size": "sum", "max": "max"})
+        users, ns, lasts = state.get if state.exists else ([], [], [])
+        old = pd.DataFrame({"size": ns, "max": lasts}, index=pd.Index(users, dtype="int64"), dtype="int64")
+        now = pd.concat([old, new]).groupby(level=0).agg({"size": "sum", "max": "max"})
+        state.update((now.index.tolist(), now["size"].tolist(), now["max"].tolist()))
+        told = now.loc[new.index]
+        yield pd.DataFrame({"bucket": key[0], "user_id": told.index.to_numpy(), "n": told["size"].to_numpy(), "last": told["max"].to_numpy()})
+
+    rows = replay(t.spark, t.events.select("user_id", "ts")).select("user_id", F.unix_micros("ts").alias("us"))
+    out = by_bucket(rows, t.events).applyInPandasWithState(step, "bucket long, user_id long, n long, last long", "users array<long>, n array<long>, last array<long>", "update", GroupStateTimeout.NoTimeout)
+    return run_to_table(out, "update").groupBy(_user()).agg(F.max("n").alias("n"), F.max("last").alias("last"))
 
 
 class Totals(StatefulProcessor):

@@ -56,7 +56,7 @@ def test_slices_of_several_files_are_one_batch_each(spark, monkeypatch):
     assert len({f for b, _, f in seen if b == 0}) == 4
 
 
-@pytest.mark.parametrize("name", ["stream_visits", "stream_state"])
+@pytest.mark.parametrize("name", ["stream_visits", "stream_state", "stream_state_legacy"])
 def test_state_over_odd_rows(spark, tmp_path, name, monkeypatch):
     """Null users, kinds and values, and visits over the edges of slices, in few and many buckets; each bucket is one key of state."""
     monkeypatch.setattr(streams, "FEW_ROWS", 100)
