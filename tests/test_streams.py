@@ -73,6 +73,14 @@ def test_state_over_odd_rows(spark, tmp_path, name, monkeypatch):
     assert streams.by_bucket(users, users).count().count() <= 200
 
 
+@pytest.mark.parametrize("name", ["stream_state", "stream_state_legacy"])
+def test_state_is_not_kept_by_single_users(spark, sf_dir, name, monkeypatch):
+    seen = []
+    monkeypatch.setattr(streams, "run_to_table", lambda df, mode: seen.append(df.columns) or R.run_to_table(df, mode))
+    QUERIES[name](spark, sf_dir)
+    assert "bucket" in seen[0]
+
+
 class Held:
     """State that counts the exchanges with it."""
 
