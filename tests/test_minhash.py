@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from heronq.operators import minhash
 from heronq.operators.graph import components, reachable
 from heronq.operators.minhash import near_duplicates, shingle_sets, signatures
 from tests.odd import TEXTS
@@ -78,6 +79,23 @@ def test_what_banding_misses_is_found(spark, few, monkeypatch):
     assert sorted((tuple(r) for r in got.collect()), key=str) == brute(rows, 5, 80)
 
 
+def test_sets_without_partners_are_no_rows(spark, monkeypatch):
+    """Tokens are rows only of classes that share enough with another one: no table outgrows the documents, copies are no partners."""
+    monkeypatch.setattr("heronq.functions.shingles.BATCH_ROWS", 7)
+    made, settle = {}, minhash.settled
+    monkeypatch.setattr(minhash, "settled", lambda df, name="table": made.setdefault(name, []).append(settle(df, name)) or made[name][-1])
+    rng = random.Random(9)
+    texts = [" ".join(f"u{rng.randrange(10**6)}" for _ in range(100)) for _ in range(240)]
+    texts += texts[:20] * 2 + [texts[0] + " one", "two " + texts[1], "  " + texts[2].upper() + " three"] + ["", None]
+    rows = list(enumerate(texts))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((tuple(r) for r in got.collect()), key=str) == brute(rows, 5, 80)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+    counts = {name: max(t.count() for t in tables) for name, tables in made.items()}
+    assert max(counts.values()) == len(rows) and counts["some"] == counts["sets"] == 6
+
+
 def test_recall_of_the_bands(spark):
     """Of all pairs at or above the threshold, the share that meets in a band; pairs far below seldom meet."""
     rows = list(enumerate(near_texts(12, 20, 3)))
